@@ -1,43 +1,49 @@
-"""The tables an operator works on, derived from raw tables or read from a stored snapshot."""
+"""The tables an operator works on.
+
+Questions run on an ingested catalogue, not on raw inputs: a table is derived once, written
+to the shared folder, and read back from there. Plans stay small, filters reach the Parquet
+scan, and Spark knows the real table sizes.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
 from stowage.operators import graph
 from stowage.plans import derived
-from stowage.session import configure, settle
+from stowage.session import configure, ensure_checkpoint_dir
 
 
 class Catalogue:
-    def __init__(self, load: Callable[[str], DataFrame], stored: bool):
-        self._load = load
-        self._stored = stored
+    def __init__(self, spark: SparkSession, source: str | None, store: str):
+        """Tables are read from `store`; with a `source`, missing ones are derived from it first."""
+        self._spark = configure(spark)
+        self._source = source
+        self._store = store.rstrip("/")
         self._tables: dict[str, DataFrame] = {}
 
     @classmethod
-    def derive(cls, spark: SparkSession, folder: str) -> "Catalogue":
-        configure(spark)
-        return cls(lambda view: derived.load(spark, folder, view), stored=False)
-
-    @classmethod
-    def stored(cls, spark: SparkSession, folder: str) -> "Catalogue":
-        """Tables written earlier by `store`."""
-        configure(spark)
-        return cls(lambda view: spark.read.parquet(f"{folder}/{view}"), stored=True)
-
-    def store(self, folder: str, views: list[str] | None = None) -> None:
-        for view in views or list(derived.VIEWS):
-            self.table(view).write.mode("overwrite").parquet(f"{folder}/{view}")
+    def derive(cls, spark: SparkSession, source: str) -> "Catalogue":
+        """A new catalogue over raw tables, kept in the folder of the session's checkpoints."""
+        store = f"{ensure_checkpoint_dir(spark).rstrip('/')}/catalogue-{uuid.uuid4().hex}"
+        return cls(spark, source, store)
 
     def table(self, view: str) -> DataFrame:
         if view not in self._tables:
-            self._tables[view] = self._load(view)
+            self._tables[view] = self._open(view)
         return self._tables[view]
 
+    def _open(self, view: str) -> DataFrame:
+        path = f"{self._store}/{view}"
+        if self._source is None:
+            return self._spark.read.parquet(path)
+        rows = derived.load(self._spark, self._source, view)
+        rows.write.parquet(path)
+        return self._spark.read.schema(rows.schema).parquet(path)
+
     def __getattr__(self, view: str) -> DataFrame:
         if view.startswith("_") or view not in derived.VIEWS:
             raise AttributeError(view)
@@ -47,11 +53,6 @@ class Catalogue:
     def edges(self) -> DataFrame:
         return graph.internal_edges(self.deps)
 
-    @cached_property
-    def fixed_edges(self) -> DataFrame:
-        """Edges for loops that read them again and again: computed once, unless stored."""
-        return self.edges if self._stored else settle(self.edges)[0]
-
     @property
     def nodes(self) -> DataFrame:
         return graph.vertices(self.assets, self.edges)
@@ -59,4 +60,4 @@ class Catalogue:
     @cached_property
     def members(self) -> DataFrame:
         """Members of all cycles, those with per-actor files included."""
-        return graph.strong_components(self.fixed_edges)
+        return graph.strong_components(self.edges)

@@ -209,7 +209,7 @@ def find_unreferenced(cat):
 
 @query
 def find_refs(cat):
-    return find.among(cat.assets, graph.impact(cat.fixed_edges, of_type(cat, "World")))
+    return find.among(cat.assets, graph.impact(cat.edges, of_type(cat, "World")))
 
 
 @query
@@ -263,7 +263,7 @@ def stats_by_folder(cat):
 
 @query
 def stats_totals(cat):
-    return stats.project_totals(cat.assets, cat.nodes, cat.fixed_edges, graph.cycles(cat.members))
+    return stats.project_totals(cat.assets, cat.nodes, cat.edges, graph.cycles(cat.members))
 
 
 @query
@@ -308,7 +308,7 @@ def degrees(cat):
 
 @query
 def graph_summary(cat):
-    return stats.graph_summary(cat.nodes, cat.fixed_edges, graph.cycles(cat.members))
+    return stats.graph_summary(cat.nodes, cat.edges, graph.cycles(cat.members))
 
 
 @query
@@ -414,32 +414,32 @@ def cycle_types(cat):
 
 @query
 def soft_cycles(cat):
-    return graph.soft_cycles(cat.members, cat.fixed_edges)
+    return graph.soft_cycles(cat.members, cat.edges)
 
 
 @query
 def impact(cat):
-    return graph.impact(cat.fixed_edges, of_type(cat, "World"))
+    return graph.impact(cat.edges, of_type(cat, "World"))
 
 
 @query
 def impact_counts(cat):
-    return graph.impact_counts(cat.fixed_edges, of_type(cat, "World", "DataTable", "Material", "Texture2D"))
+    return graph.impact_counts(cat.edges, of_type(cat, "World", "DataTable", "Material", "Texture2D"))
 
 
 @query
 def deps_closure(cat):
-    return graph.closure_stats(cat.fixed_edges, cat.nodes, of_type(cat, "DataAsset", "Blueprint", "MaterialInstance"))
+    return graph.closure_stats(cat.edges, cat.nodes, of_type(cat, "DataAsset", "Blueprint", "MaterialInstance"))
 
 
 @query
 def deps_paths(cat):
-    return graph.walk_paths(cat.fixed_edges, of_type(cat, "DataAsset", "MaterialInstance"), 3)
+    return graph.walk_paths(cat.edges, of_type(cat, "DataAsset", "MaterialInstance"), 3)
 
 
 @query
 def impact_paths(cat):
-    rows = graph.walk_paths(cat.fixed_edges, of_type(cat, "World", "Material"), 3, reverse=True)
+    rows = graph.walk_paths(cat.edges, of_type(cat, "World", "Material"), 3, reverse=True)
     kind = F.when(F.col("is_cycle"), "cycle").when(F.col("depth") == 1, "direct").otherwise("transitive")
     return rows.select(
         F.col("root").alias("target"),
@@ -458,7 +458,7 @@ def redirectors(cat):
 
 @query
 def material_chain(cat):
-    return graph.material_chain(cat.fixed_edges, cat.nodes)
+    return graph.material_chain(cat.edges, cat.nodes)
 
 
 @query
@@ -472,7 +472,7 @@ def shortest_path(cat):
     sources = of_type(cat, "World").select(F.col("asset_path").alias("source"))
     # Every order is a target of every world, found by walking, not by pairing them up.
     found = graph.reach(
-        graph.Adjacency(cat.fixed_edges, "to_path", "from_path"),
+        graph.Adjacency(cat.edges, "to_path", "from_path"),
         sources.withColumnRenamed("source", "root"),
         chains=True,
     )
@@ -494,7 +494,7 @@ def rename_impact(cat):
         .otherwise(F.lit("/Game/World/L_0"))
         .alias("destination"),
     )
-    return compare.rename_impact(cat.fixed_edges, cat.assets, renames)
+    return compare.rename_impact(cat.edges, cat.assets, renames)
 
 
 # ---------------------------------------------------------------- rules and checks
@@ -548,7 +548,7 @@ def budget_by_type(cat):
 
 def suite(cat: Catalogue, config: CheckConfig | None = None) -> DataFrame:
     return checks.violations(
-        cat.assets, cat.fixed_edges, cat.blueprint_metrics, config or CheckConfig(budgets=CHECK_BUDGETS)
+        cat.assets, cat.edges, cat.blueprint_metrics, config or CheckConfig(budgets=CHECK_BUDGETS)
     )
 
 
