@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stowage.functions import paths, skew
-from stowage.session import settle
+from stowage.session import settle, settle_observed, settle_partitioned
 
 # Reference roots that are not part of a project.
 EXTERNAL_ROOTS = ("/Engine/", "/Script/")
@@ -110,20 +110,20 @@ def redirectors(nodes: DataFrame) -> DataFrame:
 
 
 class Adjacency:
-    """Edge table laid out for repeated "go one step from these vertices" joins."""
+    """Edge table laid out for repeated "go one step from these vertices" joins.
+
+    `edges` is read once per step, so it should be a stored or settled table.
+    """
 
     def __init__(
         self,
         edges: DataFrame,
         at: str,
         to: str,
-        rows: int | None = None,
         broadcast_rows: int = skew.BROADCAST_ROWS,
         hot_rows: int = skew.HOT_ROWS,
     ):
-        """`rows` tells that `edges` is already settled and how large it is."""
-        pairs = edges.select(F.col(at).alias("vertex"), F.col(to).alias("next"))
-        self.edges, self.rows = (pairs, rows) if rows is not None else settle(pairs)
+        self.edges = edges.select(F.col(at).alias("vertex"), F.col(to).alias("next"))
         self.broadcast_rows = broadcast_rows
         self.hot_rows = hot_rows
         self._split: tuple[DataFrame, DataFrame] | None = None
@@ -143,28 +143,27 @@ class Adjacency:
             counts = self.edges.groupBy("vertex").agg(F.count(F.lit(1)).alias("size"))
             hot, _ = settle(skew.hot_keys(counts, "vertex", "size", self.hot_rows))
             spread = skew.spread(self.edges, hot, "vertex", F.col("next"))
-            partitions = int(self.edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-            edges, _ = settle(spread.repartition(partitions, "vertex", skew.PART))
-            self._split = edges, hot
+            self._split = settle_partitioned(spread, "vertex", skew.PART), hot
         return self._split
 
 
 def reach(
-    adjacency: Adjacency, roots: DataFrame, chains: bool = False, max_depth: int | None = None
+    adjacency: Adjacency, roots: DataFrame, chains: bool = False, settled_rows: int | None = None
 ) -> DataFrame:
     """Breadth-first walk from every row of `roots` (column `root`) at once.
 
     Returns (root, vertex, depth >= 1[, chain]); a root is never in its own result. With
-    `chains`, `chain` is the smallest text among the shortest paths.
+    `chains`, `chain` is the smallest text among the shortest paths. `settled_rows` says that
+    `roots` is settled, distinct, and has at most that many rows.
     """
     limit = adjacency.broadcast_rows
-    start = roots.select("root", F.col("root").alias("vertex")).distinct()
+    start = roots.select("root", F.col("root").alias("vertex"))
     if chains:
         start = start.withColumn("chain", F.col("root"))
-    frontier, rows = settle(start)
+    frontier, rows = settle(start.distinct()) if settled_rows is None else (start, settled_rows)
     seen, seen_rows, pieces = frontier.select("root", "vertex"), rows, 1
     depth, levels = 0, []
-    while rows and (max_depth is None or depth < max_depth):
+    while rows:
         depth += 1
         stepped = adjacency.step(frontier, rows)
         if seen_rows <= limit:
@@ -293,20 +292,30 @@ def walk_paths(edges: DataFrame, roots: DataFrame, max_depth: int, reverse: bool
 # ---------------------------------------------------------------- cycles
 
 
-def _trim_once(edges: DataFrame, rows: int | None) -> DataFrame:
+def _ends(edges: DataFrame, column: str) -> DataFrame:
+    return edges.select(F.col(column).alias("vertex")).distinct()
+
+
+def _trim_once(edges: DataFrame, rows: int | None) -> tuple[DataFrame, int]:
     """Keep edges that start where some edge ends and end where some edge starts."""
-    limit = -1 if rows is None else rows
-    targets = edges.select(F.col("dst").alias("src")).distinct()
-    sources = edges.select(F.col("src").alias("dst")).distinct()
-    if 0 <= limit <= skew.BROADCAST_ROWS:
-        targets, sources = F.broadcast(targets), F.broadcast(sources)
-    return edges.join(targets, "src", "left_semi").join(sources, "dst", "left_semi").select("src", "dst")
+    if rows is not None and rows <= skew.BROADCAST_ROWS:
+        targets, sources = F.broadcast(_ends(edges, "dst")), F.broadcast(_ends(edges, "src"))
+    else:
+        # The vertices with both kinds of edges are usually few. Counting them first decides
+        # whether the edge table has to be shuffled at all.
+        inner, count = settle(_ends(edges, "dst").join(_ends(edges, "src"), "vertex", "left_semi"))
+        targets = sources = skew.bounded(inner, count)
+    return settle(
+        edges.join(targets.withColumnRenamed("vertex", "src"), "src", "left_semi")
+        .join(sources.withColumnRenamed("vertex", "dst"), "dst", "left_semi")
+        .select("src", "dst")
+    )
 
 
 def _trim(edges: DataFrame, rows: int | None = None) -> tuple[DataFrame, int]:
     """Remove edges that cannot lie on a cycle, from both ends inwards, until nothing changes."""
     while True:
-        kept, left = settle(_trim_once(edges, rows))
+        kept, left = _trim_once(edges, rows)
         if left == 0 or left == rows:
             return kept, left
         edges, rows = kept, left
@@ -340,10 +349,9 @@ def _colour(out: Adjacency, nodes: DataFrame, count: int) -> DataFrame:
             .groupBy("vertex")
             .agg(F.max("colour").alias("colour"), F.max("own").alias("own"))
         )
-        merged, _ = settle(merged)
-        changed = merged.where(F.col("colour") != F.col("own")).limit(1).count()
+        merged, seen = settle_observed(merged, changed=F.count_if(F.col("colour") != F.col("own")))
         colours = merged.select("vertex", "colour")
-        if not changed:
+        if not seen["changed"]:
             return colours
 
 
@@ -377,21 +385,23 @@ def strong_components(edges: DataFrame, from_col: str = "from_path", to_col: str
 
     found = []
     while rows:
-        colours = _colour(Adjacency(core, "src", "dst", rows=rows, **layout), nodes, count)
+        colours = _colour(Adjacency(core, "src", "dst", **layout), nodes, count)
         tint = skew.bounded(colours, count)
         # A component never spans two colours, so only edges inside one colour matter from here.
-        inside, inside_rows = settle(
+        inside, _ = settle(
             core.join(tint.select(F.col("vertex").alias("src"), "colour"), "src")
             .join(tint.select(F.col("vertex").alias("dst"), F.col("colour").alias("c")), "dst")
             .where(F.col("colour") == F.col("c"))
             .select("src", "dst")
         )
         heads = colours.where(F.col("colour") == F.col("vertex")).select(F.col("vertex").alias("root"))
-        back = reach(Adjacency(inside, "dst", "src", rows=inside_rows, **layout), heads)
+        back = reach(Adjacency(inside, "dst", "src", **layout), heads, settled_rows=count)
         done, done_rows = settle(
             back.select("root", "vertex").union(heads.select("root", F.col("root").alias("vertex")))
         )
         found.append(done)
+        if done_rows == count:
+            break
         over = skew.bounded(done.select("vertex"), done_rows)
         rest = inside.join(over.withColumnRenamed("vertex", "src"), "src", "left_anti").join(
             over.withColumnRenamed("vertex", "dst"), "dst", "left_anti"

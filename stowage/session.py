@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # Settings that suit every job of this package. They are SQL settings, so a caller's
@@ -68,7 +68,31 @@ def settle(df: DataFrame) -> tuple[DataFrame, int]:
     "the next frontier" and "is it empty" runs one job per round. A retried task may make
     the metric too high, never too low: fit for emptiness tests and broadcast bounds.
     """
+    kept, seen = settle_observed(df, rows=F.count(F.lit(1)))
+    return kept, int(seen["rows"])
+
+
+def settle_observed(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
+    """Like `settle`, with aggregates of the caller's choice instead of the row count."""
     ensure_checkpoint_dir(df.sparkSession)
-    seen = Observation()
-    kept = df.observe(seen, F.count(F.lit(1)).alias("rows")).checkpoint(eager=True)
-    return kept, int(seen.get["rows"])
+    observation = Observation()
+    named = [column.alias(name) for name, column in metrics.items()]
+    kept = df.observe(observation, *named).checkpoint(eager=True)
+    return kept, observation.get
+
+
+def settle_partitioned(df: DataFrame, *keys: str) -> DataFrame:
+    """Settle `df` hash-partitioned and sorted by `keys`, and known to Spark as such.
+
+    Joins on the same keys then shuffle only their other side. Adaptive planning is off for
+    this one job because a checkpoint taken under it forgets the partitioning.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return df.repartition(partitions, *keys).sortWithinPartitions(*keys).checkpoint(eager=True)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
