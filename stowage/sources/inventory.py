@@ -75,7 +75,8 @@ def discover(spark: SparkSession, root: str) -> DataFrame:
         .select("path", "modificationTime", "length")
     )
     return listing.where(paths.is_package_file(F.col("path"))).select(
-        F.col("path").alias("file_path"),
+        # Local files come with a scheme; paths of the catalogue do not have it.
+        F.regexp_replace("path", "^file:/+", "/").alias("file_path"),
         F.col("modificationTime").cast("bigint").alias("mtime"),
         "length",
     )
