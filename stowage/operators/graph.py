@@ -147,20 +147,17 @@ class Adjacency:
         return self._split
 
 
-def reach(
-    adjacency: Adjacency, roots: DataFrame, chains: bool = False, settled_rows: int | None = None
-) -> DataFrame:
+def reach(adjacency: Adjacency, roots: DataFrame, chains: bool = False) -> DataFrame:
     """Breadth-first walk from every row of `roots` (column `root`) at once.
 
     Returns (root, vertex, depth >= 1[, chain]); a root is never in its own result. With
-    `chains`, `chain` is the smallest text among the shortest paths. `settled_rows` says that
-    `roots` is settled, distinct, and has at most that many rows.
+    `chains`, `chain` is the smallest text among the shortest paths.
     """
     limit = adjacency.broadcast_rows
     start = roots.select("root", F.col("root").alias("vertex"))
     if chains:
         start = start.withColumn("chain", F.col("root"))
-    frontier, rows = settle(start.distinct()) if settled_rows is None else (start, settled_rows)
+    frontier, rows = settle(start.distinct())
     seen, seen_rows, pieces = frontier.select("root", "vertex"), rows, 1
     depth, levels = 0, []
     while rows:
@@ -394,10 +391,13 @@ def strong_components(edges: DataFrame, from_col: str = "from_path", to_col: str
             .where(F.col("colour") == F.col("c"))
             .select("src", "dst")
         )
-        heads = colours.where(F.col("colour") == F.col("vertex")).select(F.col("vertex").alias("root"))
-        back = reach(Adjacency(inside, "dst", "src", **layout), heads, settled_rows=count)
+        # Seen from the largest id of a colour: a vertex that reaches it, within the colour,
+        # belongs to its component. That is the same question on reversed edges.
+        back = _colour(Adjacency(inside, "dst", "src", **layout), nodes, count)
         done, done_rows = settle(
-            back.select("root", "vertex").union(heads.select("root", F.col("root").alias("vertex")))
+            colours.join(skew.bounded(back.withColumnRenamed("colour", "back"), count), "vertex")
+            .where(F.col("colour") == F.col("back"))
+            .select(F.col("colour").alias("root"), "vertex")
         )
         found.append(done)
         if done_rows == count:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stowage.operators import graph
 from stowage.plans import derived
-from stowage.session import configure, ensure_checkpoint_dir
+from stowage.session import configure, working_folder
 
 
 class Catalogue:
@@ -28,7 +28,7 @@ class Catalogue:
     @classmethod
     def derive(cls, spark: SparkSession, source: str) -> "Catalogue":
         """A new catalogue over raw tables, kept in the folder of the session's checkpoints."""
-        store = f"{ensure_checkpoint_dir(spark).rstrip('/')}/catalogue-{uuid.uuid4().hex}"
+        store = f"{working_folder(spark)}/catalogue-{uuid.uuid4().hex}"
         return cls(spark, source, store)
 
     def table(self, view: str) -> DataFrame:

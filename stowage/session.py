@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -61,12 +62,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def working_folder(spark: SparkSession) -> str:
+    """Where a job of this session keeps intermediate tables; may be deleted when it is done."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
 def settle(df: DataFrame) -> tuple[DataFrame, int]:
-    """Compute `df` once into the checkpoint folder; return it with its row count.
+    """Compute `df` once into a table of the working folder; return that with its row count.
 
     The count rides along with the write as an observed metric, so a loop that needs both
     "the next frontier" and "is it empty" runs one job per round. A retried task may make
     the metric too high, never too low: fit for emptiness tests and broadcast bounds.
+
+    A table rather than a checkpoint, because a checkpointed frame drags the constraints of
+    all earlier rounds along, which makes planning a long loop slower and slower.
     """
     kept, seen = settle_observed(df, rows=F.count(F.lit(1)))
     return kept, int(seen["rows"])
@@ -74,11 +83,12 @@ def settle(df: DataFrame) -> tuple[DataFrame, int]:
 
 def settle_observed(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
     """Like `settle`, with aggregates of the caller's choice instead of the row count."""
-    ensure_checkpoint_dir(df.sparkSession)
+    spark = df.sparkSession
+    path = f"{working_folder(spark)}/settled-{uuid.uuid4().hex}"
     observation = Observation()
     named = [column.alias(name) for name, column in metrics.items()]
-    kept = df.observe(observation, *named).checkpoint(eager=True)
-    return kept, observation.get
+    df.observe(observation, *named).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), observation.get
 
 
 def settle_partitioned(df: DataFrame, *keys: str) -> DataFrame:
