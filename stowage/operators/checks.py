@@ -64,7 +64,7 @@ def violations(
             message = F.concat(
                 F.lit("cycle of "), F.col("size").cast("string"), F.lit(" assets from "), F.col("component")
             )
-            members = graph.reported_members(edges)
+            members = graph.cycle_members(graph.strong_components(edges))
             parts.append(members.select(*violation(severity, "circular-deps", message, name)))
         elif name == "redirectors":
             found = graph.redirectors(assets)

@@ -413,15 +413,14 @@ def strong_components(edges: DataFrame, from_col: str = "from_path", to_col: str
     members = found[0]
     for more in found[1:]:
         members = members.union(more)
-    members = members.join(names, "vertex").select("root", F.col("path").alias("asset_path"))
+    members, total = settle(members.join(names, "vertex").select("root", F.col("path").alias("asset_path")))
     groups = (
         members.groupBy("root")
         .agg(F.min("asset_path").alias("component"), F.count(F.lit(1)).alias("size"))
         .where(F.col("size") >= 2)
     )
-    return skew.join_sized(members, groups, "root", "size", F.col("asset_path")).select(
-        "asset_path", "component", "size"
-    )
+    named = skew.join_sized(members, groups, "root", "size", F.col("asset_path"), total=total)
+    return settle(named.select("asset_path", "component", "size"))[0]
 
 
 def cycles(members: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -448,10 +447,8 @@ def cycles(members: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
 
 def cycle_members(members: DataFrame) -> DataFrame:
     """Members of the reported cycles."""
-    reported = cycles(members).select("component", "size")
-    return skew.join_sized(
-        members.select("asset_path", "component"), reported, "component", "size", F.col("asset_path")
-    )
+    left_out = members.where(paths.is_per_actor_file(F.col("asset_path"))).select("component").distinct()
+    return members.join(left_out, "component", "left_anti").select("asset_path", "component", "size")
 
 
 def new_cycles(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -575,7 +572,9 @@ def _loop_depths(hops: DataFrame, looping: DataFrame, rows: int) -> DataFrame:
         )
         reached *= 2
     lengths = ring.groupBy("label").agg(F.count(F.lit(1)).alias("length"))
-    ring = skew.join_sized(ring.select("vertex", "label"), lengths, "label", "length", F.col("vertex"))
+    ring = skew.join_sized(
+        ring.select("vertex", "label"), lengths, "label", "length", F.col("vertex"), total=count
+    )
     # Walk the tails again, this time stopping at the first loop vertex.
     tails = (
         looping.select("vertex")
@@ -618,9 +617,3 @@ def material_metrics(assets: DataFrame, samples: DataFrame, chains: DataFrame) -
             .alias("instance_chain_depth"),
         )
     )
-
-
-def reported_members(edges: DataFrame) -> DataFrame:
-    """Members of all reported cycles of a graph, settled for reuse."""
-    return settle(cycle_members(strong_components(edges)))[0]
-

@@ -31,6 +31,12 @@ class Catalogue:
         store = f"{working_folder(spark)}/catalogue-{uuid.uuid4().hex}"
         return cls(spark, source, store)
 
+    def reopen(self) -> "Catalogue":
+        """The same stored tables without anything computed from them."""
+        other = Catalogue(self._spark, self._source, self._store)
+        other._tables = self._tables
+        return other
+
     def table(self, view: str) -> DataFrame:
         if view not in self._tables:
             self._tables[view] = self._open(view)

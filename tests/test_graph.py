@@ -26,7 +26,7 @@ def layout(request, monkeypatch):
         return {}
     monkeypatch.setattr(skew, "BROADCAST_ROWS", -1)
     monkeypatch.setattr(skew.bounded, "__defaults__", (-1,))
-    monkeypatch.setattr(skew.join_sized, "__defaults__", (3,))
+    monkeypatch.setattr(skew.join_sized, "__defaults__", (3, None))
     return {"broadcast_rows": -1, "hot_rows": 3}
 
 
