@@ -173,7 +173,7 @@ def load(spark: SparkSession, folder: str, view: str) -> DataFrame:
     """One view of the derived catalogue over the Parquet tables in `folder`."""
     chain = needed(f" {view} ", VIEWS)
     text = " ".join(VIEWS[name] for name in chain)
-    for table in needed(text, {**BASE_TABLES}):
+    for table in needed(text, BASE_TABLES):
         spark.read.schema(BASE_TABLES[table]).parquet(f"{folder}/{table}.parquet").createOrReplaceTempView(table)
     ctes = ", ".join(f"{name} AS ({VIEWS[name]})" for name in chain)
     return spark.sql(f"WITH {ctes} SELECT * FROM {view}")

@@ -41,7 +41,6 @@ OVERRIDES = LintConfig(
     depth_by_type={"Blueprint": 15},
 ).with_prefixes({"StaticMesh": "T_", "MaterialFunction": "MF_", "SoundWave": "A_"})
 NOW = 1707000000
-NEW_DEPENDANT_TYPES = ("World",)
 
 
 def query(function: Query) -> Query:
