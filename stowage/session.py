@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -44,10 +43,9 @@ def local_session(app: str, cores: int = 8, shuffle_partitions: int = 8) -> Spar
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Folder for cut lineage: the session's own setting, else (local runs only) a fresh one.
+    """Folder for cut lineage: the session's own setting, else one in its warehouse.
 
-    On a cluster a folder of one machine is not reachable from the executors, so there a
-    missing setting is an error instead of a silent fallback.
+    Both are reachable from all executors, unlike the temporary folder of one machine.
     """
     context = spark.sparkContext
     current = context.getCheckpointDir()
@@ -55,9 +53,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        configured = tempfile.mkdtemp(prefix="stowage-checkpoint-")
+        configured = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
     context.setCheckpointDir(configured)
     return context.getCheckpointDir()
 
@@ -91,6 +87,17 @@ def settle_observed(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
     return spark.read.schema(df.schema).parquet(path), observation.get
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files behind a settled frame that nothing will read again."""
+    spark = df.sparkSession
+    root = working_folder(spark)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        if "/settled-" in folder and root.rsplit("/", 1)[1] in folder:
+            path = hadoop.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def settle_partitioned(df: DataFrame, *keys: str) -> DataFrame:
     """Settle `df` hash-partitioned and sorted by `keys`, and known to Spark as such.
 
