@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stowage.llm import bpe
+from stowage.llm import bpe, exact_dedup, fingerprints, mixing, pseudonyms, simhash, warc
 from stowage.llm.common import read
+from stowage.session import settle
 
 
 def encoded(documents: DataFrame, ranks_path: str) -> DataFrame:
@@ -26,8 +27,173 @@ def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return encoded(read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def arrives_later() -> Column:
+    """Which half of a table is held as the incoming batch against the other half."""
+    return F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1
+
+
+def exact_copies(documents: DataFrame) -> DataFrame:
+    return exact_dedup.deduplicate(documents, arrives_later()).select(
+        "doc_id",
+        "keep_id",
+        F.col("copies").alias("group_size"),
+        "kept",
+        F.lower(F.hex("digest")).alias("text_sha256"),
+    )
+
+
+def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_copies(read(spark, folder, "documents"))
+
+
+def near_copies(documents: DataFrame) -> DataFrame:
+    fingerprinted, _ = settle(simhash.with_fingerprints(documents.select("doc_id", "text")))
+    return simhash.near_duplicates(fingerprinted).select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
+    )
+
+
+def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return near_copies(read(spark, folder, "documents"))
+
+
+def mixed(documents: DataFrame) -> DataFrame:
+    first = F.when(F.col("__copies") > 0, F.round(mixing.position(F.lit(0)), 6))
+    return mixing.plan(documents.select("doc_id", "text", "source")).select(
+        "doc_id",
+        F.col("__size").alias("size"),
+        F.col("__total").alias("source_size"),
+        F.col("__target").alias("target"),
+        (F.col("__size") * F.col("__copies")).alias("taken"),
+        F.col("__copies").alias("copies"),
+        first.alias("first_position"),
+    )
+
+
+def op7_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
+    return mixed(read(spark, folder, "documents"))
+
+
+def archived(pages: DataFrame) -> DataFrame:
+    """What the archives of all pages hold; a revisit's length is that of the record it points to."""
+    read_back, _ = settle(
+        warc.round_trip(pages.select("page_id", "url", "html")).select(
+            "kind", "record_id", "refers_to", "digest", "written", "sound", F.length("payload").alias("bytes")
+        )
+    )
+    page = lambda name: F.regexp_extract(name, "^<urn:page:([0-9-]+):", 1).try_cast("bigint")
+    stored = read_back.where("kind = 'response'").select(
+        F.col("record_id").alias("target"), F.col("bytes").alias("stored_bytes")
+    )
+    revisits = read_back.where("kind = 'revisit'").join(
+        stored.distinct(), F.col("refers_to") == F.col("target"), "left"
+    )
+    both = read_back.where("kind = 'response'").unionByName(
+        revisits.select(*(c for c in read_back.columns if c != "bytes"), F.col("stored_bytes").alias("bytes"))
+    )
+    return (
+        both.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("written"))))
+        .select(
+            page("record_id").alias("page_id"),
+            F.col("bytes").cast("bigint").alias("payload_bytes"),
+            F.col("digest").alias("payload_digest"),
+            F.col("kind").alias("record_type"),
+            page("refers_to").alias("refers_to"),
+        )
+    )
+
+
+def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return archived(read(spark, folder, "pages"))
+
+
+def document_trees(documents: DataFrame) -> DataFrame:
+    return fingerprints.compare_with_edits(documents.select("doc_id", "text"))
+
+
+def op1_merkle_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return document_trees(read(spark, folder, "documents"))
+
+
+PSEUDONYM_KEY = "key for tests and examples"
+
+
+def pseudonymised(documents: DataFrame) -> DataFrame:
+    changed = F.filter("found", lambda x: x["changed"])
+    return pseudonyms.pseudonymise(documents.select("doc_id", "text"), PSEUDONYM_KEY).select(
+        "doc_id",
+        "text",
+        F.size(changed).alias("replaced"),
+        F.array_sort(F.array_distinct(changed["kind"])).alias("kinds"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"),
+    )
+
+
+def op8_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
+    return pseudonymised(read(spark, folder, "documents"))
+
+
 QUERIES = {
+    "op1_merkle_fingerprints": op1_merkle_fingerprints,
+    "op2_exact_dedup": op2_exact_dedup,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_simhash": op4_simhash,
+    "op7_mix_sources": op7_mix_sources,
+    "op8_pseudonyms": op8_pseudonyms,
+    "op9_warc": op9_warc,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op7_mix_sources": """
+        WITH sized AS (
+            SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS key,
+                   CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size
+            FROM documents),
+        totals AS (SELECT source, CAST(sum(size) AS BIGINT) AS total FROM sized GROUP BY source),
+        weighed AS (
+            SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight,
+                   sum(total) OVER () AS everything
+            FROM totals),
+        filled AS (  -- by how full a source is at equal words per weight
+            SELECT *, everything - coalesce(sum(3 * total) OVER earlier, 0) AS rest,
+                   sum(weight) OVER (ORDER BY 3.0 * total / weight DESC, source NULLS FIRST) AS weights
+            FROM weighed WINDOW earlier AS (ORDER BY 3.0 * total / weight, source NULLS LAST
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        level AS (
+            SELECT max(CAST(rest AS DOUBLE) / CAST(weights AS DOUBLE)) AS per_weight
+            FROM filled WHERE CAST(rest AS DOUBLE) / CAST(weights AS DOUBLE) * weight <= 3 * total),
+        goals AS (
+            SELECT source, total, weight, least(coalesce(per_weight, 0) * weight, CAST(3 * total AS DOUBLE)) AS target
+            FROM weighed, level),
+        placed AS (
+            SELECT doc_id, size, total, weight, target,
+                   coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY key, doc_id
+                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+            FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source),
+        counted AS (
+            SELECT *, CASE WHEN total = 0 THEN 1 ELSE greatest(0, least(3, CAST(floor(
+                       (2 * target - 2 * CAST(before AS DOUBLE) - size) / (2 * total)) AS BIGINT) + 1)) END AS copies,
+                   CASE WHEN target > 0 THEN (CAST(before AS DOUBLE) + size / 2.0) / target ELSE 0 END AS share
+            FROM placed)
+        SELECT doc_id, size, total AS source_size, target, size * copies AS taken, copies,
+               CASE WHEN copies > 0 THEN round(CASE weight
+                   WHEN 1 THEN 2 * share / (1.5 + sqrt(2.25 - 2 * share))
+                   WHEN 2 THEN share
+                   ELSE 2 * share / (0.5 + sqrt(0.25 + 2 * share)) END, 6) END AS first_position
+        FROM counted""",
+    "op2_exact_dedup": """
+        SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+               doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+        FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+    "op9_warc": """
+        WITH hashed AS (
+            SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS sha FROM pages),
+        grouped AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS largest FROM hashed)
+        SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+               array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   1 + ((CAST('0x' || substr(sha, 1 + CAST(i // 4 AS BIGINT) * 5, 5) AS INT)
+                         >> CAST(15 - 5 * (i % 4) AS INT)) & 31), 1)), '') AS payload_digest,
+               CASE WHEN page_id = largest THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> largest THEN largest END AS refers_to
+        FROM grouped""",
+}
