@@ -38,7 +38,11 @@ KINDS = {
     "phone": r"\+\d{1,3}[ -]?(?:\(\d{1,4}\)[ -]?)?\d{2,4}(?:[ -]?\d{2,4}){1,3}(?![\d])|(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)",
     "card": r"(?<![\d.+-])\d(?:[ -]?\d){12,18}(?![\d-])",
 }
-ANY = "(" + "|".join(f"(?:{pattern})" for pattern in KINDS.values()) + ")"
+# Letters of a name or secret that are permuted among themselves.
+CLASSES = {"0-9": "0123456789", "a-z": "abcdefghijklmnopqrstuvwxyz", "A-Z": "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+# All kinds, tried in this order. Group 1 is the match, group 2 is filled where it is a secret:
+# whether a value is one shows in what stands before it.
+ANY = "(" + "|".join(f"({p})" if kind == "secret" else f"(?:{p})" for kind, p in KINDS.items()) + ")"
 
 
 def _let(value: Column, use) -> Column:
@@ -163,13 +167,22 @@ def _date(value: Column, key: str) -> Column:
     return result
 
 
+def _letters(value: Column, pattern: str, letters: str, key: str, kind: str) -> Column:
+    """`value` with the characters of one class permuted among themselves."""
+    own = F.regexp_replace(value, f"[^{pattern}]", "")
+    spots = F.transform(F.split(own, ""), lambda c: F.instr(F.lit(letters), c) - 1)
+    fresh = F.transform(permute(spots, len(letters), key, kind), lambda n: F.substring(F.lit(letters), n + 1, F.lit(1)))
+    return F.when(own == "", value).otherwise(_let(fresh, lambda f: _refill(value, pattern, f)))
+
+
+def _once(value: Column, pattern: str, letters: str, key: str, kind: str) -> Column:
+    return _let(value, lambda v: _letters(v, pattern, letters, key, kind))
+
+
 def _name(value: Column, key: str, kind: str) -> Column:
     """Digits among digits, small letters among small letters, capitals among capitals."""
-    for pattern, letters in (("0-9", "0123456789"), ("a-z", "abcdefghijklmnopqrstuvwxyz"), ("A-Z", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")):
-        own = F.regexp_replace(value, f"[^{pattern}]", "")
-        spots = F.transform(F.split(own, ""), lambda c, abc=letters: F.instr(F.lit(abc), c) - 1)
-        fresh = F.transform(permute(spots, len(letters), key, kind), lambda n, abc=letters: F.substring(F.lit(abc), n + 1, F.lit(1)))
-        value = F.when(own == "", value).otherwise(_refill(value, pattern, fresh))
+    for pattern, letters in CLASSES.items():
+        value = _once(value, pattern, letters, key, kind)
     return value
 
 
@@ -178,11 +191,11 @@ def _mail(value: Column, key: str) -> Column:
 
 
 def kind_of(value: Column) -> Column:
+    """The kind of a match that is no secret."""
     result = F.lit(None).cast("string")
     for kind, pattern in reversed(KINDS.items()):
-        # A match stands alone here, so what the pattern wants around it is left out.
-        core = pattern.replace(r"(?<=(?:password|passwd|api_key|secret|token)\s?[=:]\s?\"?)", "")
-        result = F.when(value.rlike(f"^(?:{core})$"), F.lit(kind)).otherwise(result)
+        if kind != "secret":
+            result = F.when(value.rlike(f"^(?:{pattern})$"), F.lit(kind)).otherwise(result)
     return result
 
 
@@ -199,24 +212,30 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
 
 
 def pseudonymise(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
-    """`docs` with pseudonyms in `column`, and `found`: (kind, changed) per match in reading order."""
+    """`docs` with pseudonyms in `column`, and `found`: (kind, new, changed) per match in reading order."""
     text = F.col(column)
-    matches = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(1)))
 
-    def judged(value: Column) -> Column:
-        renamed = _let(_kind_order(value), lambda kind: F.struct(kind.alias("kind"), pseudonym(value, kind, key).alias("new")))
-        return _let(renamed, lambda r: F.struct(r["kind"].alias("kind"), r["new"].alias("new"), (r["new"] != value).alias("changed")))
+    def judged(value: Column, secret: Column) -> Column:
+        kind = F.when(secret != "", F.lit("secret")).otherwise(kind_of(value))
+        renamed = _let(kind, lambda k: F.struct(k.alias("kind"), pseudonym(value, k, key).alias("new")))
+        return _let(
+            renamed, lambda r: F.struct(r["kind"].alias("kind"), r["new"].alias("new"), (r["new"] != value).alias("changed"))
+        )
 
-    marked = docs.withColumn("__new", F.transform(F.coalesce(matches, F.array().cast("array<string>")), judged))
+    def all_judged(matches: Column) -> Column:
+        secrets = F.regexp_extract_all(text, F.lit(ANY), F.lit(2))
+        return F.when(F.size(matches) > 0, F.zip_with(matches, secrets, judged))
+
+    # Most texts hold nothing of the kind: the one cheap look spares them the long pattern.
+    matches = F.regexp_extract_all(text, F.lit(ANY), F.lit(1))
+    marked = docs.withColumn("__new", F.when(text.rlike("[0-9@]"), _let(matches, all_judged)))
     between = F.split(text, ANY)
     joined = F.array_join(
         F.transform(between, lambda piece, i: F.concat(piece, F.coalesce(F.get(F.col("__new"), i)["new"], F.lit("")))), ""
     )
-    return marked.withColumn(column, F.when(F.size("__new") > 0, joined).otherwise(text)).withColumnRenamed(
-        "__new", "found"
+    found = F.coalesce("__new", F.array().cast("array<struct<kind:string,new:string,changed:boolean>>"))
+    return (
+        marked.withColumn(column, F.when(F.col("__new").isNotNull(), joined).otherwise(text))
+        .withColumn("found", found)
+        .drop("__new")
     )
-
-
-def _kind_order(value: Column) -> Column:
-    """Kinds as the pattern tries them; a value that only fits where it stood is a secret."""
-    return F.coalesce(kind_of(value), F.lit("secret"))
