@@ -1,8 +1,70 @@
-"""Placeholder until the stages exist."""
+"""From raw documents to token ids: five stages, each a table that the next one reads.
 
-STAGES = []
+Every stage is a function of (spark, docs, folder): `docs` is what the stage before kept, in the
+columns of `documents`, and `folder` holds the other tables. Stages write nothing themselves.
+
+1. toxicity: documents that the network finds toxic go.
+2. exact copies: of equal texts the row with the largest id stays.
+3. near copies: of texts linked by SimHash the row with the smallest id stays.
+4. mixing: documents are repeated or left out to meet the sources' targets, in training order.
+5. tokens: byte-level BPE; the last table has ids' and decoded texts' digests instead of texts.
+
+Null texts pass as empty ones. An empty table stays empty through all stages.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stowage.llm import exact_dedup, mixing, queries, simhash, toxicity
+from stowage.llm.common import read
+from stowage.session import working_folder
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    net = toxicity.learn(docs, read(spark, folder, "labels"))
+    return toxicity.score(docs.select(*COLUMNS), net, to="__score").where(F.col("__score") < 0.5).select(*COLUMNS)
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    return exact_dedup.drop_duplicates(docs.select(*COLUMNS), queries.arrives_later())
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    return simhash.one_of_each(docs.select(*COLUMNS))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    return mixing.mix(docs.select(*COLUMNS))
+
+
+def tokenise(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    return queries.encoded(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact copies", drop_exact_copies),
+    ("near copies", drop_near_copies),
+    ("mixing", mix_sources),
+    ("tokens", tokenise),
+]
+
+# A trained network decides in the first stage: tested against plain Python instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    folder = f"{working_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    for number, (_, stage) in enumerate(STAGES):
+        made = stage(spark, docs, sf_dir)
+        made.write.parquet(f"{folder}/{number}")
+        docs = spark.read.schema(made.schema).parquet(f"{folder}/{number}")
+    return docs

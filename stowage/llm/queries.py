@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stowage.llm import bpe, exact_dedup, fingerprints, mixing, pseudonyms, simhash, warc
-from stowage.llm.common import read
+from stowage.llm import bpe, exact_dedup, fingerprints, fuzzy_lines, mixing, pseudonyms, quality, simhash, toxicity, warc
+from stowage.llm.common import read, whole
 from stowage.session import settle
 
 
@@ -133,14 +133,70 @@ def op8_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
     return pseudonymised(read(spark, folder, "documents"))
 
 
+def ratings(labels: DataFrame) -> DataFrame:
+    """Grades from the labels: 0 poor, 1 good but toxic, 2 good."""
+    good = F.when(F.col("quality") == 0, 0).when(F.col("quality") == 1, F.when(F.col("toxic") == 1, 1).otherwise(2))
+    return labels.select("doc_id", good.alias("grade"))
+
+
+def graded(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """Expected grade of every text, and whether it is likelier good than poor (the tail of grade 1)."""
+    model = quality.fit(*quality.rated_sample(documents, ratings(labels)))
+    tails = quality.grade(documents.select("doc_id", "text"), model).drop("text")
+    tail = F.get("tails", F.lit(0))
+    return tails.select(
+        "doc_id",
+        toxicity.is_held_out().alias("held_out"),
+        F.aggregate("tails", F.lit(0.0), lambda a, x: a + x).alias("expected_grade"),
+        tail.alias("score"),
+        F.get("tails", F.lit(1)).alias("top_tail"),
+        (tail >= 0.5).cast("int").alias("predicted"),
+        (tail >= 0.5).alias("kept"),
+    )
+
+
+def op5_ordinal_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return graded(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
+def toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    net = toxicity.learn(documents, labels)
+    return toxicity.score(documents.select("doc_id", "text"), net).select(
+        "doc_id", toxicity.is_held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxic(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
+def deduplicated_lines(documents: DataFrame) -> DataFrame:
+    """Which lines of every document stay, numbered from 0."""
+    lines = F.size(F.split(whole(), "\n"))
+    counted = documents.select("doc_id", "text", lines.alias("n_lines"))
+    return fuzzy_lines.with_removals(counted).select(
+        "doc_id",
+        F.col("n_lines").cast("bigint").alias("n_lines"),
+        (F.col("n_lines") - F.size("__removed")).cast("bigint").alias("kept_lines"),
+        F.col("__removed").alias("removed_lines"),
+    )
+
+
+def op6_fuzzy_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return deduplicated_lines(read(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_merkle_fingerprints": op1_merkle_fingerprints,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_simhash": op4_simhash,
+    "op5_ordinal_quality": op5_ordinal_quality,
+    "op6_fuzzy_lines": op6_fuzzy_lines,
     "op7_mix_sources": op7_mix_sources,
     "op8_pseudonyms": op8_pseudonyms,
     "op9_warc": op9_warc,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL = {
