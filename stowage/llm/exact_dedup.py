@@ -79,6 +79,8 @@ def same_bytes(docs: DataFrame, pairs: DataFrame) -> DataFrame:
         "digest", F.explode(F.array(F.struct(F.col("old_id").alias("id")), F.struct(F.col("new_id").alias("id"))))
     ).select("digest", "col.id")
     texts = docs.select("doc_id", whole().alias("text"))
+    # A merge join at every size: sending the pairs to all tasks would only do for a few.
+    wanted = wanted.hint("merge")
     found = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["id"])).where(digest(F.col("text")) == F.col("digest"))
     return (
         found.groupBy("digest")
@@ -133,7 +135,7 @@ def deduplicate(docs: DataFrame, incoming: Column) -> DataFrame:
 
 def drop_duplicates(docs: DataFrame, incoming: Column) -> DataFrame:
     """`docs` without the rows that an equal text replaces; repeated rows of one id stay once."""
-    stays = deduplicate(docs, incoming).where("kept").select(F.col("doc_id").alias("__id"), "digest")
+    stays = deduplicate(docs, incoming).where("kept").select(F.col("doc_id").alias("__id"), "digest").hint("merge")
     keyed = docs.withColumn("__digest", digest(whole()))
     match = keyed["doc_id"].eqNullSafe(stays["__id"]) & (keyed["__digest"] == stays["digest"])
     return keyed.join(stays, match, "left_semi").dropDuplicates(["doc_id", "__digest"]).select(docs.columns)

@@ -154,7 +154,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     chosen = near_duplicates(rows).groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp"))).agg(
         F.min(order).alias("one")
     )
-    stays = chosen.select(F.col("one.doc_id").alias("__id"), F.col("one.th").alias("__th"))
+    stays = chosen.select(F.col("one.doc_id").alias("__id"), F.col("one.th").alias("__th")).hint("merge")
     keyed = docs.withColumn("__hash", F.xxhash64(whole()))
     match = keyed["doc_id"].eqNullSafe(stays["__id"]) & (keyed["__hash"] == stays["__th"])
     return keyed.join(stays, match, "left_semi").dropDuplicates(["doc_id", "__hash"]).select(docs.columns)
