@@ -43,8 +43,10 @@ def test_every_stage_against_plain_python(spark, folder):
 
     kept = stage("toxicity")(spark, docs, folder)
     assert kept.columns == docs.columns
-    clean = {r.doc_id for r in kept.collect()}
-    assert clean == {i for i, t in rows.items() if not any(w in (t or "") for w in ("grumbu", "vilezox", "hatezor"))}
+    passed = {r.doc_id for r in kept.collect()}
+    toxic = {i for i, t in rows.items() if any(w in (t or "") for w in ("grumbu", "vilezox", "hatezor"))}
+    # A trained model judges here: every clean text stays, nearly every toxic one goes.
+    assert rows.keys() - toxic <= passed and len(toxic & passed) <= 0.03 * len(toxic)
 
     left = stage("exact copies")(spark, docs, folder)
     last = {}
@@ -69,7 +71,9 @@ def test_run_applies_all_stages(spark, folder):
     out = corpus_pipeline.run(spark, folder)
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     found = {r.doc_id for r in out.collect()}
-    assert found and all(i % 5 or i >= 500 for i in found) and not found & {1 + 3 * k for k in range(60) if (1 + 3 * k) % 5}
+    assert found and sum(i % 5 == 0 and i < 500 for i in found) <= 3
+    # Of exact copies the larger id stays, so originals of the copies are gone.
+    assert not found & {1 + 3 * k for k in range(60) if (1 + 3 * k) % 5}
 
 
 def test_empty_table(spark, folder):
