@@ -68,7 +68,7 @@ def build(keys: np.ndarray) -> tuple[int, int, int, bytes]:
         rounds = _peel(slots, size)
         if rounds is None:
             if seed % 20 == 0:  # not met at the usual load; more room always ends it
-                segments, size = segments + segments // 4 + 1, 0
+                segments += segments // 4 + 1
                 size = (segments + 2) * length
             continue
         table = np.zeros(size, "u1")
