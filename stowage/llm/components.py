@@ -5,7 +5,8 @@ smallest neighbour of its parent, then every child and its parents to the child'
 parent; smallest neighbours are aggregates, so no neighbourhood is ever gathered. When no child
 has two parents and no parent is a child, each tree is a star around its component's smallest
 node. The number of rounds grows with the logarithm of the longest path. Every round is a table
-in the shared folder; the one before it is deleted.
+in the shared folder; the one before it is deleted. As long as the links are few by count, a round
+is one task's work and nothing is shuffled; beyond that Spark spreads it.
 """
 
 from __future__ import annotations
@@ -16,6 +17,10 @@ from pyspark.sql import functions as F
 from stowage.session import discard, settle
 
 
+# Links that one task handles in a round: some 2 MB.
+TASK_LINKS = 100_000
+
+
 def _is_forest_of_stars(links: DataFrame) -> bool:
     several = links.groupBy("child").count().where("count > 1").select(F.lit(1).alias("x"))
     deep = links.select(F.col("parent").alias("child")).join(links, "child", "left_semi").select(F.lit(1).alias("x"))
@@ -39,11 +44,16 @@ def _round(links: DataFrame) -> DataFrame:
 
 def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root) for every node of a pair that is not its component's smallest node."""
-    links, _ = settle(
+
+    def kept(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        stored, count = settle(rows)
+        return stored, stored.coalesce(1) if count <= TASK_LINKS else stored
+
+    stored, links = kept(
         pairs.select(F.greatest(a, b).alias("child"), F.least(a, b).alias("parent")).where("child > parent").distinct()
     )
     while not _is_forest_of_stars(links):
-        shorter, _ = settle(_round(links))
-        discard(links)
-        links = shorter
-    return links.select(F.col("child").alias("node"), F.col("parent").alias("root"))
+        before = stored
+        stored, links = kept(_round(links))
+        discard(before)
+    return stored.select(F.col("child").alias("node"), F.col("parent").alias("root"))

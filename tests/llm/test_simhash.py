@@ -79,7 +79,9 @@ def test_no_link_is_lost_in_crowded_lists(spark, dense):
     assert [got[i] for i in range(len(signed))] == want
 
 
-def test_components_of_long_paths_and_hubs(spark):
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_components_of_long_paths_and_hubs(spark, monkeypatch, few):
+    monkeypatch.setattr("stowage.llm.components.TASK_LINKS", few)
     rng = random.Random(1)
     path = [(i, i + 1) for i in range(300)]
     hub = [(1000, 1000 + i) for i in range(1, 200)] + [(5, 5), (2000, 2001), (2001, 2000)]
