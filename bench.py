@@ -1,7 +1,8 @@
 """Times the headline queries on an ingested catalogue; prints one JSON line.
 
-`ingest` is the time to derive and store the catalogue tables from the raw ones. The queries
-then run against the stored tables, each evaluated in full into a sink that discards rows.
+`ingest` is the time to derive and store the catalogue tables from the raw ones, `analyse` the
+part of it that stores the graph: edges, vertices with degrees, cycle members. The queries then
+run against the stored tables, each evaluated in full into a sink that discards rows.
 Everything runs twice in one session: the first pass includes starting up the JVM's code, the
 second is what a running session delivers. Both are reported, the second is the headline.
 """
@@ -27,6 +28,9 @@ TABLES = [
     "index_files",
     "disk_files",
     "pkg_events",
+    "edges",
+    "nodes",
+    "members",
 ]
 HEADLINE = [
     "dead_assets",
@@ -68,10 +72,12 @@ def one_pass(spark, folder: str) -> dict[str, float]:
     begin = time.perf_counter()
     catalogue = Catalogue.derive(spark, folder)
     for table in TABLES:
+        if table == "edges":
+            analysis = time.perf_counter()
         catalogue.table(table)
     seconds["ingest"] = round(time.perf_counter() - begin, 3)
+    seconds["analyse"] = round(time.perf_counter() - analysis, 3)
     for name in HEADLINE:
-        # Cycle members are kept on a catalogue; a fresh one makes every query pay for them.
         fresh = catalogue.reopen()
         begin = time.perf_counter()
         run(QUERIES[name](fresh))
@@ -87,10 +93,10 @@ def main() -> None:
     second = one_pass(spark, folder)
     report = {
         "metric": "headline queries, total of the second pass",
-        "value": round(sum(second.values()), 3),
+        "value": round(sum(v for k, v in second.items() if k != "analyse"), 3),
         "unit": "sec",
         "queries": second,
-        "first_pass": {"value": round(sum(first.values()), 3), "queries": first},
+        "first_pass": {"value": round(sum(v for k, v in first.items() if k != "analyse"), 3), "queries": first},
         "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf"),
     }
     print(json.dumps(report))

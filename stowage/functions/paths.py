@@ -48,7 +48,7 @@ def package_name(path: Column) -> Column:
 def asset_path_of_file(file_path: Column, content_root: str) -> Column:
     """Storage path to asset path; NULL when the file is not below the content root."""
     root = content_root.rstrip("/") + "/"
-    inside = F.substring(file_path, len(root) + 1, 1 << 30)
+    inside = F.substr(file_path, F.lit(len(root) + 1))
     return F.when(
         file_path.startswith(root),
         F.concat(F.lit("/Game/"), F.regexp_replace(inside, r"(?<=[^/])\.[^./]*$", "")),
@@ -64,7 +64,7 @@ def relative_path(path: Column, root: str) -> Column:
     """Forward-slash path below `root`; unchanged when it lies elsewhere."""
     clean = F.translate(path, "\\", "/")
     root = root.rstrip("/") + "/"
-    return F.when(clean.startswith(root), F.substring(clean, len(root) + 1, 1 << 30)).otherwise(clean)
+    return F.when(clean.startswith(root), F.substr(clean, F.lit(len(root) + 1))).otherwise(clean)
 
 
 def folder_bucket(path: Column) -> Column:

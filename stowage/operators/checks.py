@@ -47,11 +47,19 @@ def _recorded(severity: str) -> str:
 
 
 def violations(
-    assets: DataFrame, edges: DataFrame, metrics: DataFrame, config: CheckConfig | None = None
+    assets: DataFrame,
+    edges: DataFrame,
+    metrics: DataFrame,
+    config: CheckConfig | None = None,
+    nodes: DataFrame | None = None,
+    members: DataFrame | None = None,
 ) -> DataFrame:
-    """Findings of all active checks. Inputs of a check that is off are never read."""
+    """Findings of all active checks. Inputs of a check that is off are never read.
+
+    `nodes` and `members` are stored vertices and cycle members, if the catalogue has them.
+    """
     config = config or CheckConfig()
-    nodes = graph.vertices(assets, edges)
+    nodes = graph.vertices(assets, edges) if nodes is None else nodes
     parts = []
     for name in config.active():
         severity = _recorded(config.severity_of(name))
@@ -64,8 +72,8 @@ def violations(
             message = F.concat(
                 F.lit("cycle of "), F.col("size").cast("string"), F.lit(" assets from "), F.col("component")
             )
-            members = graph.cycle_members(graph.strong_components(edges))
-            parts.append(members.select(*violation(severity, "circular-deps", message, name)))
+            components = graph.strong_components(edges) if members is None else members
+            parts.append(graph.cycle_members(components).select(*violation(severity, "circular-deps", message, name)))
         elif name == "redirectors":
             found = graph.redirectors(assets)
             parts.append(found.select(*violation(severity, "redirectors", F.lit("unresolved redirector"), name)))
@@ -173,8 +181,8 @@ def sarif_results(found: DataFrame, assets: DataFrame) -> DataFrame:
     )
 
 
-def sarif_json(results_rows: DataFrame) -> DataFrame:
-    """SARIF 2.1.0 result objects as JSON text, one per row, ready for a text sink."""
+def sarif_json(results_rows: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """SARIF 2.1.0 result objects as JSON text, one per row, beside the columns to `keep`."""
     location = F.struct(
         F.struct(
             F.struct(F.col("uri").alias("uri"), F.lit("%SRCROOT%").alias("uriBaseId")).alias("artifactLocation")
@@ -184,6 +192,7 @@ def sarif_json(results_rows: DataFrame) -> DataFrame:
         "array<struct<physicalLocation:struct<artifactLocation:struct<uri:string,uriBaseId:string>>>>"
     )
     return results_rows.select(
+        *keep,
         F.to_json(
             F.struct(
                 F.col("rule_id").alias("ruleId"),
@@ -191,7 +200,7 @@ def sarif_json(results_rows: DataFrame) -> DataFrame:
                 F.struct(F.col("message").alias("text")).alias("message"),
                 F.when(F.col("uri").isNull(), empty).otherwise(F.array(location)).alias("locations"),
             )
-        ).alias("value")
+        ).alias("value"),
     )
 
 

@@ -197,16 +197,23 @@ def trend(series: DataFrame) -> DataFrame:
 
 
 def catalogue_health(
-    assets: DataFrame, history: DataFrame, properties: dict[str, str], expected: dict[str, str], now: int
+    assets: DataFrame, history: DataFrame, properties: DataFrame, expected: dict[str, str], now: int
 ) -> DataFrame:
-    """One row per check: (check, ok, detail)."""
+    """One row per check: (check, ok, detail). `properties` are the stored (key, value) pairs."""
     count = assets.agg(F.count(F.lit(1)).alias("v")).scalar()
     last = history.agg(F.max("scanned_at").alias("v")).scalar()
-    base = assets.sparkSession.range(1).select(count.alias("n"), last.alias("last"))
+    stored = {
+        name: properties.where(F.col("key") == name).agg(F.max("value").alias("v")).scalar()
+        for name in ("schema_version", "writer_version")
+    }
+    base = assets.sparkSession.range(1).select(
+        count.alias("n"), last.alias("last"), *(value.alias(name) for name, value in stored.items())
+    )
     entries = [("assets", F.col("n") > 0, F.concat(F.col("n").cast("string"), F.lit(" assets")))]
     for name in ("schema_version", "writer_version"):
-        have = properties.get(name)
-        entries.append((name, F.lit(have == expected[name]), F.lit(f"{have or 'unknown'} (expected {expected[name]})")))
+        have = F.col(name)
+        detail = F.concat(F.coalesce(have, F.lit("unknown")), F.lit(f" (expected {expected[name]})"))
+        entries.append((name, F.coalesce(have == expected[name], F.lit(False)), detail))
     age = (F.greatest(F.lit(now) - F.col("last"), F.lit(0)) / 86400).cast("bigint")
     entries.append(
         (
@@ -239,9 +246,12 @@ def rename_impact(edges: DataFrame, assets: DataFrame, renames: DataFrame) -> Da
     )
 
 
-def audit(assets: DataFrame, edges: DataFrame, violations: DataFrame) -> DataFrame:
-    """One row per asset: degrees, violations by rule, flags."""
-    nodes = assets.select("asset_path", "asset_type", "file_size")
+def audit(assets: DataFrame, edges: DataFrame, violations: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """One row per asset: degrees, violations by rule, flags. `nodes`: stored vertices, if any."""
+    if nodes is None:
+        nodes = assets.select("asset_path", "asset_type", "file_size")
+    else:
+        nodes = nodes.where(~F.col("is_placeholder"))
     ordered = F.array_sort(
         F.collect_set(
             F.concat(F.when(F.col("severity") == rules.ERROR, "1error ").otherwise("2warn "), F.col("rule"))
@@ -251,7 +261,7 @@ def audit(assets: DataFrame, edges: DataFrame, violations: DataFrame) -> DataFra
     found = violations.groupBy("asset_path").agg(
         F.count_if(F.col("severity") == rules.ERROR).alias("errors"),
         F.count_if(F.col("severity") != rules.ERROR).alias("warnings"),
-        F.array_join(F.transform(ordered, lambda t: F.substring(t, 2, 1 << 20)), "; ").alias("rules"),
+        F.array_join(F.transform(ordered, lambda t: F.regexp_replace(t, "^.", "")), "; ").alias("rules"),
     )
     return (
         graph.degrees(nodes, edges)

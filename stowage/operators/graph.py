@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stowage.functions import paths, skew
-from stowage.session import settle, settle_observed, settle_partitioned
+from stowage.session import discard, settle, settle_observed, settle_partitioned
 
 # Reference roots that are not part of a project.
 EXTERNAL_ROOTS = ("/Engine/", "/Script/")
@@ -58,6 +58,9 @@ def vertices(assets: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """`nodes` with in_degree and out_degree; stored vertices have them already."""
+    if "in_degree" in nodes.columns:
+        return nodes
     incoming = edges.groupBy(F.col("to_path").alias("asset_path")).agg(F.count(F.lit(1)).alias("in_degree"))
     outgoing = edges.groupBy(F.col("from_path").alias("asset_path")).agg(F.count(F.lit(1)).alias("out_degree"))
     return (
@@ -76,24 +79,31 @@ def unreferenced(
     excluded_types: tuple[str, ...] = ENGINE_SUBOBJECT_TYPES,
     exclude_per_actor: bool = True,
 ) -> DataFrame:
-    """Vertices nothing points at. A self-reference counts as a reference."""
+    """Vertices nothing points at. A self-reference counts as a reference.
+
+    Stored vertices know their degrees, so for them this is a scan.
+    """
     kept = nodes
     if excluded_types:
         kept = kept.where(~F.col("asset_type").isin(*excluded_types))
     if exclude_per_actor:
         kept = kept.where(~paths.is_per_actor_file(F.col("asset_path")))
+    if "in_degree" in kept.columns:
+        return kept.where(F.col("in_degree") == 0).drop("in_degree", "out_degree")
     # Distinct first: a hub with a third of all edges shrinks to one row before the shuffle.
     referenced = edges.select(F.col("to_path").alias("asset_path")).distinct()
     return kept.join(referenced, "asset_path", "left_anti")
 
 
-def direct_dependencies(wanted: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(asset_path, dep_path, dep_type) for a table of assets."""
+def direct_dependencies(
+    wanted: DataFrame, edges: DataFrame, nodes: DataFrame, hot_rows: int = skew.HOT_ROWS
+) -> DataFrame:
+    """(asset_path, dep_path, dep_type) for a table of assets. What many of them point at is split."""
     out = edges.join(wanted.select(F.col("asset_path").alias("from_path")).distinct(), "from_path", "left_semi")
     types = nodes.select(F.col("asset_path").alias("to_path"), F.col("asset_type").alias("dep_type"))
-    return out.join(types, "to_path").select(
-        F.col("from_path").alias("asset_path"), F.col("to_path").alias("dep_path"), "dep_type"
-    )
+    sizes = out.groupBy("to_path").agg(F.count(F.lit(1)).alias("size"))
+    typed = skew.join_sized(out, sizes.join(types, "to_path"), "to_path", "size", F.col("from_path"), hot_rows)
+    return typed.select(F.col("from_path").alias("asset_path"), F.col("to_path").alias("dep_path"), "dep_type")
 
 
 def direct_referrers(wanted: DataFrame, edges: DataFrame) -> DataFrame:
@@ -146,8 +156,16 @@ class Adjacency:
             self._split = settle_partitioned(spread, "vertex", skew.PART), hot
         return self._split
 
+    def close(self) -> None:
+        """Delete what the layout has stored; the edges themselves are the caller's."""
+        if self._split is not None:
+            discard(self._split[1])
+            self._split = None
 
-def reach(adjacency: Adjacency, roots: DataFrame, chains: bool = False) -> DataFrame:
+
+def reach(
+    adjacency: Adjacency, roots: DataFrame, chains: bool = False, max_depth: int | None = None
+) -> DataFrame:
     """Breadth-first walk from every row of `roots` (column `root`) at once.
 
     Returns (root, vertex, depth >= 1[, chain]); a root is never in its own result. With
@@ -160,9 +178,10 @@ def reach(adjacency: Adjacency, roots: DataFrame, chains: bool = False) -> DataF
     frontier, rows = settle(start.distinct())
     seen, seen_rows, pieces = frontier.select("root", "vertex"), rows, 1
     depth, levels = 0, []
-    while rows:
+    while rows and depth != max_depth:
         depth += 1
-        stepped = adjacency.step(frontier, rows)
+        # Chains grow with every hop, so the bound on what is broadcast shrinks alike.
+        stepped = adjacency.step(frontier, rows * depth if chains else rows)
         if seen_rows <= limit:
             # Drop known pairs before the shuffle of the grouping.
             stepped = stepped.join(F.broadcast(seen), ["root", "vertex"], "left_anti")
@@ -179,7 +198,7 @@ def reach(adjacency: Adjacency, roots: DataFrame, chains: bool = False) -> DataF
             levels.append(frontier.withColumn("depth", F.lit(depth)))
             seen, seen_rows, pieces = seen.union(frontier.select("root", "vertex")), seen_rows + rows, pieces + 1
             if pieces >= COMPACT_EVERY:
-                seen, pieces = settle(seen)[0], 1
+                seen, pieces = settle(seen)[0], 1  # the levels themselves stay: they are the result
     if not levels:
         return frontier.withColumn("depth", F.lit(0)).limit(0)
     found = levels[0]
@@ -188,6 +207,41 @@ def reach(adjacency: Adjacency, roots: DataFrame, chains: bool = False) -> DataF
     return found
 
 
+def reach_any(adjacency: Adjacency, starts: DataFrame) -> DataFrame:
+    """(vertex) met by walking from all of `starts` (column `vertex`) as one set, each vertex once.
+
+    A start is in the result only if a step leads to it.
+    """
+    frontier, rows = settle(starts.select("vertex").distinct())
+    expanded, met = frontier, frontier.limit(0)
+    pieces = 1
+    while rows:
+        stepped, count = settle(adjacency.step(frontier, rows).select("vertex").distinct())
+        if not count:
+            break
+        met = met.union(stepped)
+        frontier, rows = settle(stepped.join(expanded, "vertex", "left_anti"))
+        expanded, pieces = expanded.union(frontier), pieces + 1
+        if pieces >= COMPACT_EVERY:
+            expanded, met, pieces = settle(expanded)[0], settle(met.distinct())[0], 1
+    return met.distinct()
+
+
+def referrers_of_any(edges: DataFrame, targets: DataFrame, **layout) -> DataFrame:
+    """(asset_path) of everything that reaches a target other than itself, in one walk."""
+    wanted = targets.select(F.col("asset_path").alias("vertex")).distinct()
+    met, _ = settle(reach_any(Adjacency(edges, at="to_path", to="from_path", **layout), wanted))
+    others = met.join(wanted, "vertex", "left_anti")
+    # A target that is met may only have been met by its own cycle: look where it leads.
+    again, rows = settle(met.join(wanted, "vertex", "left_semi"))
+    if rows:
+        onward = reach(
+            Adjacency(edges, at="from_path", to="to_path", **layout), again.select(F.col("vertex").alias("root"))
+        )
+        others = others.union(onward.join(wanted, "vertex", "left_semi").select("root").distinct())
+    return others.select(F.col("vertex").alias("asset_path"))
+
+
 def impact(edges: DataFrame, targets: DataFrame, **layout) -> DataFrame:
     """Who is affected by each target: (target, asset_path, depth, kind)."""
     adjacency = Adjacency(edges, at="to_path", to="from_path", **layout)
@@ -220,10 +274,13 @@ def closure_stats(edges: DataFrame, nodes: DataFrame, roots: DataFrame, **layout
     start = roots.select(F.col("asset_path").alias("root")).distinct()
     found = reach(adjacency, start)
     own = start.select("root", F.col("root").alias("vertex"), F.lit(0).alias("depth"))
-    sizes = nodes.select(F.col("asset_path").alias("vertex"), "file_size")
+    pairs = found.unionByName(own)
+    # Every root reaches the same hubs: their pairs are split.
+    reached = pairs.groupBy("vertex").agg(F.count(F.lit(1)).alias("size"))
+    sizes = reached.join(nodes.select(F.col("asset_path").alias("vertex"), "file_size"), "vertex", "left")
+    hot_rows = layout.get("hot_rows", skew.HOT_ROWS)
     return (
-        found.unionByName(own)
-        .join(sizes, "vertex", "left")
+        skew.join_sized(pairs, sizes, "vertex", "size", F.col("root"), hot_rows)
         .groupBy(F.col("root").alias("asset_path"))
         .agg(
             F.count_if(F.col("depth") == 1).alias("direct_count"),
@@ -235,55 +292,69 @@ def closure_stats(edges: DataFrame, nodes: DataFrame, roots: DataFrame, **layout
 
 def shortest_chains(edges: DataFrame, pairs: DataFrame, **layout) -> DataFrame:
     """Fewest-hop referrer chain from `source` to `target`; pairs without one are absent."""
+    found = shortest_chains_to(edges, pairs.select("source"), pairs.select(F.col("target").alias("asset_path")), **layout)
+    return found.join(pairs.select("source", "target").distinct(), ["source", "target"], "left_semi")
+
+
+def shortest_chains_to(edges: DataFrame, sources: DataFrame, goals: DataFrame, **layout) -> DataFrame:
+    """Chains from every source to every goal (`asset_path`) that it is reached from."""
     adjacency = Adjacency(edges, at="to_path", to="from_path", **layout)
-    found = reach(adjacency, pairs.select(F.col("source").alias("root")), chains=True)
-    wanted = pairs.select("source", "target").distinct()
-    return found.select(
+    found = reach(adjacency, sources.select(F.col("source").alias("root")), chains=True)
+    wanted = goals.select(F.col("asset_path").alias("vertex")).distinct()
+    return found.join(wanted, "vertex", "left_semi").select(
         F.col("root").alias("source"), F.col("vertex").alias("target"), F.col("depth").alias("hops"), "chain"
-    ).join(wanted, ["source", "target"], "left_semi")
+    )
 
 
-def walk_paths(edges: DataFrame, roots: DataFrame, max_depth: int, reverse: bool = False) -> DataFrame:
-    """Every path of up to `max_depth` hops below each root, one row per tree node.
+def reference_tree(
+    edges: DataFrame,
+    members: DataFrame,
+    roots: DataFrame,
+    max_depth: int | None = None,
+    reverse: bool = False,
+    **layout,
+) -> DataFrame:
+    """Everything below each root, one row per edge reached: (root, parent, asset_path, depth, is_cycle, hidden_children).
 
-    A node already on its own path is kept, marked, and not expanded. At the depth cap,
-    `hidden_children` counts what the cap cuts off. The number of rows grows with the number
-    of paths, which is why the cap is required.
+    A printed tree repeats a subtree under every path that leads to it; here each edge comes
+    once, at its parent's least depth plus one, so rows grow with edges, not with paths. The
+    walk ends by itself. An edge closes a cycle if it leads to a vertex of its parent's cycle
+    (`members`, the strong components) that was met no later than the parent. With a depth,
+    `hidden_children` counts what lies below a vertex on the last level.
     """
     at, to = ("to_path", "from_path") if reverse else ("from_path", "to_path")
-    hops = edges.select(F.col(at).alias("last"), F.col(to).alias("child"))
-    level = roots.select(F.col("asset_path").alias("root")).distinct()
-    level = level.select("root", F.col("root").alias("last"), F.array("root").alias("trail"))
-    rows = None
-    for depth in range(1, max_depth + 1):
-        level = level.join(hops, "last").select(
-            "root",
-            F.col("last").alias("parent"),
-            F.col("child").alias("asset_path"),
-            F.array_contains("trail", F.col("child")).alias("is_cycle"),
-            F.concat("trail", F.array("child")).alias("trail"),
-            F.lit(depth).alias("depth"),
-        )
-        out = level
-        if depth == max_depth:
-            children = hops.groupBy(F.col("last").alias("asset_path")).agg(F.count(F.lit(1)).alias("n"))
-            out = level.join(children, "asset_path", "left").withColumn(
-                "hidden_children", F.when(F.col("is_cycle"), F.lit(0)).otherwise(F.coalesce("n", F.lit(0)))
-            )
-        else:
-            out = out.withColumn("hidden_children", F.lit(0).cast("bigint"))
-        out = out.select(
-            "root",
-            "parent",
-            "asset_path",
-            "depth",
-            "is_cycle",
-            F.col("hidden_children").cast("bigint").alias("hidden_children"),
-            F.concat_ws(CHAIN_SEPARATOR, "trail").alias("path"),
-        )
-        rows = out if rows is None else rows.unionByName(out)
-        level = level.where(~F.col("is_cycle")).select("root", F.col("asset_path").alias("last"), "trail")
-    return rows
+    starts = roots.select(F.col("asset_path").alias("root")).distinct()
+    found = reach(Adjacency(edges, at=at, to=to, **layout), starts, max_depth=max_depth)
+    own = starts.select("root", F.col("root").alias("vertex"), F.lit(0).alias("depth"))
+    met = found.select("root", "vertex", "depth").unionByName(own)
+    hops = edges.select(F.col(at).alias("parent"), F.col(to).alias("asset_path"))
+    parents = met.select("root", F.col("vertex").alias("parent"), F.col("depth").alias("parent_depth"))
+    if max_depth is not None:
+        parents = parents.where(F.col("parent_depth") < max_depth)
+    children = met.select("root", F.col("vertex").alias("asset_path"), F.col("depth").alias("met_at"))
+    # Edges inside a cycle are looked up once per edge, not once per root.
+    inside = members.select("asset_path", "component")
+    closing = (
+        hops.join(inside.withColumnsRenamed({"asset_path": "parent", "component": "c"}), "parent")
+        .join(inside, "asset_path")
+        .where(F.col("c") == F.col("component"))
+        .select("parent", "asset_path", F.lit(True).alias("inside"))
+    )
+    tinted = hops.join(closing, ["parent", "asset_path"], "left")
+    rows = parents.join(tinted, "parent").join(children, ["root", "asset_path"])
+    is_cycle = (F.col("parent") == F.col("asset_path")) | (
+        F.col("inside").isNotNull() & (F.col("met_at") <= F.col("parent_depth"))
+    )
+    rows = rows.select(
+        "root", "parent", "asset_path", (F.col("parent_depth") + 1).alias("depth"), is_cycle.alias("is_cycle"), "met_at"
+    )
+    if max_depth is None:
+        return rows.drop("met_at").withColumn("hidden_children", F.lit(0).cast("bigint"))
+    below = hops.groupBy(F.col("parent").alias("asset_path")).agg(F.count(F.lit(1)).alias("n"))
+    hidden = F.when(F.col("met_at") == max_depth, F.coalesce("n", F.lit(0))).otherwise(0).cast("bigint")
+    return rows.join(below, "asset_path", "left").select(
+        "root", "parent", "asset_path", "depth", "is_cycle", hidden.alias("hidden_children")
+    )
 
 
 # ---------------------------------------------------------------- cycles
@@ -302,20 +373,25 @@ def _trim_once(edges: DataFrame, rows: int | None) -> tuple[DataFrame, int]:
         # whether the edge table has to be shuffled at all.
         inner, count = settle(_ends(edges, "dst").join(_ends(edges, "src"), "vertex", "left_semi"))
         targets = sources = skew.bounded(inner, count)
-    return settle(
+    kept = settle(
         edges.join(targets.withColumnRenamed("vertex", "src"), "src", "left_semi")
         .join(sources.withColumnRenamed("vertex", "dst"), "dst", "left_semi")
         .select("src", "dst")
     )
+    if rows is None or rows > skew.BROADCAST_ROWS:
+        discard(inner)
+    return kept
 
 
 def _trim(edges: DataFrame, rows: int | None = None) -> tuple[DataFrame, int]:
     """Remove edges that cannot lie on a cycle, from both ends inwards, until nothing changes."""
+    before = []
     while True:
         kept, left = _trim_once(edges, rows)
+        discard(*before)
         if left == 0 or left == rows:
             return kept, left
-        edges, rows = kept, left
+        edges, rows, before = kept, left, [kept]
 
 
 def _colour(out: Adjacency, nodes: DataFrame, count: int) -> DataFrame:
@@ -324,7 +400,7 @@ def _colour(out: Adjacency, nodes: DataFrame, count: int) -> DataFrame:
     Each round pushes colours along edges and then lets a vertex take the colour of its
     colour, so long cycles settle in far fewer rounds than they have vertices.
     """
-    colours = nodes.select("vertex", F.col("vertex").alias("colour"))
+    colours, ours = nodes.select("vertex", F.col("vertex").alias("colour")), False
     while True:
         pushed = out.step(colours, count).select("vertex", "colour", F.lit(None).cast("bigint").alias("own"))
         kept = colours.select("vertex", "colour", F.col("colour").alias("own"))
@@ -347,7 +423,9 @@ def _colour(out: Adjacency, nodes: DataFrame, count: int) -> DataFrame:
             .agg(F.max("colour").alias("colour"), F.max("own").alias("own"))
         )
         merged, seen = settle_observed(merged, changed=F.count_if(F.col("colour") != F.col("own")))
-        colours = merged.select("vertex", "colour")
+        if ours:
+            discard(colours)
+        colours, ours = merged.select("vertex", "colour"), True
         if not seen["changed"]:
             return colours
 
@@ -373,16 +451,19 @@ def strong_components(edges: DataFrame, from_col: str = "from_path", to_col: str
         )
     )
     lookup = skew.bounded(names, count)
+    trimmed = core
     core, rows = settle(
         core.join(lookup.select(F.col("path").alias("src"), F.col("vertex").alias("s")), "src")
         .join(lookup.select(F.col("path").alias("dst"), F.col("vertex").alias("d")), "dst")
         .select(F.col("s").alias("src"), F.col("d").alias("dst"))
     )
+    discard(trimmed)
     nodes = names.select("vertex")
 
     found = []
     while rows:
-        colours = _colour(Adjacency(core, "src", "dst", **layout), nodes, count)
+        onward = Adjacency(core, "src", "dst", **layout)
+        colours = _colour(onward, nodes, count)
         tint = skew.bounded(colours, count)
         # A component never spans two colours, so only edges inside one colour matter from here.
         inside, _ = settle(
@@ -393,20 +474,23 @@ def strong_components(edges: DataFrame, from_col: str = "from_path", to_col: str
         )
         # Seen from the largest id of a colour: a vertex that reaches it, within the colour,
         # belongs to its component. That is the same question on reversed edges.
-        back = _colour(Adjacency(inside, "dst", "src", **layout), nodes, count)
+        backward = Adjacency(inside, "dst", "src", **layout)
+        back = _colour(backward, nodes, count)
         done, done_rows = settle(
             colours.join(skew.bounded(back.withColumnRenamed("colour", "back"), count), "vertex")
             .where(F.col("colour") == F.col("back"))
             .select(F.col("colour").alias("root"), "vertex")
         )
         found.append(done)
-        if done_rows == count:
-            break
         over = skew.bounded(done.select("vertex"), done_rows)
         rest = inside.join(over.withColumnRenamed("vertex", "src"), "src", "left_anti").join(
             over.withColumnRenamed("vertex", "dst"), "dst", "left_anti"
         )
+        old = [colours, back, inside, core, *([nodes] if len(found) > 1 else [])]
         core, rows = _trim(rest)
+        discard(*old)
+        onward.close()
+        backward.close()
         if rows:
             nodes, count = settle(core.select(F.col("src").alias("vertex")).union(core.select("dst")).distinct())
 
@@ -414,13 +498,16 @@ def strong_components(edges: DataFrame, from_col: str = "from_path", to_col: str
     for more in found[1:]:
         members = members.union(more)
     members, total = settle(members.join(names, "vertex").select("root", F.col("path").alias("asset_path")))
+    discard(names, core, *found)
     groups = (
         members.groupBy("root")
         .agg(F.min("asset_path").alias("component"), F.count(F.lit(1)).alias("size"))
         .where(F.col("size") >= 2)
     )
     named = skew.join_sized(members, groups, "root", "size", F.col("asset_path"), total=total)
-    return settle(named.select("asset_path", "component", "size"))[0]
+    result, _ = settle(named.select("asset_path", "component", "size"))
+    discard(members)
+    return result
 
 
 def cycles(members: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -491,9 +578,11 @@ def _parents(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Next hop of each material instance: its smallest material-like dependency."""
     like = nodes.where(F.col("asset_type").isin("Material", "MaterialInstance")).select("asset_path", "asset_type")
     instances = like.where(F.col("asset_type") == "MaterialInstance").select(F.col("asset_path").alias("from_path"))
-    hops = edges.join(instances, "from_path", "left_semi").join(
-        like.select(F.col("asset_path").alias("to_path"), F.col("asset_type").alias("to_type")), "to_path"
-    )
+    out = edges.join(instances, "from_path", "left_semi").select("from_path", "to_path")
+    # One master material may be the parent of most instances: its hops are split.
+    sizes = out.groupBy("to_path").agg(F.count(F.lit(1)).alias("size"))
+    kinds = like.select(F.col("asset_path").alias("to_path"), F.col("asset_type").alias("to_type"))
+    hops = skew.join_sized(out, sizes.join(kinds, "to_path"), "to_path", "size", F.col("from_path"))
     return (
         hops.groupBy(F.col("from_path").alias("vertex"))
         .agg(F.min(F.struct("to_path", "to_type")).alias("hop"))

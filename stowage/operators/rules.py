@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from stowage.functions import paths
 
 ERROR, WARN, OFF = "error", "warn", "off"
+# Only metadata rules know this one: it is listed and never fails anything.
+INFO = "info"
 
 # Accepted name prefixes per asset type.
 NAME_PREFIXES = {
@@ -235,6 +237,53 @@ TEXTURE_RULES = [
 ]
 
 
+# Rules over the metadata of the other kinds of assets.
+STATIC_MESH_RULES = [
+    MetadataRule("lint/static-mesh/no-lod", WARN, "lod_count = 1 AND triangle_count_lod0 > 10000"),
+    MetadataRule("lint/static-mesh/high-lightmap-res", WARN, "lightmap_resolution > 512"),
+    MetadataRule("lint/static-mesh/no-collision", WARN, "NOT has_collision"),
+    MetadataRule("lint/static-mesh/nanite-no-lod", INFO, "has_nanite AND lod_count > 1"),
+]
+SKELETAL_MESH_RULES = [
+    MetadataRule("lint/skeletal-mesh/no-lod", WARN, "lod_count = 1 AND triangle_count_lod0 > 5000"),
+    MetadataRule("lint/skeletal-mesh/excess-bones", WARN, "bone_count > 256"),
+    MetadataRule("lint/skeletal-mesh/high-poly-morph", WARN, "has_morph_targets AND triangle_count_lod0 > 20000"),
+]
+SOUND_RULES = [
+    MetadataRule("lint/sound/stereo-ambient", WARN, "duration > 10 AND num_channels = 2"),
+    MetadataRule("lint/sound/uncompressed", ERROR, "compression_quality = 100 AND file_size > 2097152"),
+    MetadataRule("lint/sound/high-sample-rate", WARN, "sample_rate > 48000"),
+    MetadataRule("lint/sound/non-streaming-large", WARN, "duration > 30 AND NOT is_streaming"),
+]
+EFFECT_RULES = [
+    MetadataRule("lint/niagara/many-emitters", WARN, "emitter_count > 10"),
+    MetadataRule("lint/niagara/gpu-sim-with-lights", WARN, "has_gpu_simulation AND has_lights"),
+]
+DATA_TABLE_RULES = [
+    MetadataRule("lint/data-table/large-table", WARN, "row_count > 10000"),
+    MetadataRule("lint/data-table/missing-struct", ERROR, "asset_type = 'DataTable' AND row_struct IS NULL"),
+]
+WIDGET_RULES = [
+    MetadataRule("lint/widget/deep-hierarchy", WARN, "widget_depth > 8"),
+    MetadataRule("lint/widget/many-animations", WARN, "animation_count > 20"),
+]
+
+
+def material_rules(max_samples: int, max_chain: int) -> list[MetadataRule]:
+    """Fixed values but for the two limits, which are settings."""
+    return [
+        MetadataRule("lint/material/too-many-texture-samples", WARN, f"texture_sample_count > {int(max_samples)}"),
+        MetadataRule("lint/material/deep-instance-chain", WARN, f"instance_chain_depth > {int(max_chain)}"),
+        MetadataRule("lint/material/wpo-on-opaque", WARN, "uses_wpo AND blend_mode = 'BLEND_Opaque'"),
+        MetadataRule("lint/material/translucent-two-sided", WARN, "blend_mode = 'BLEND_Translucent' AND two_sided"),
+        MetadataRule(
+            "lint/material/subsurface-high-sample-count",
+            ERROR,
+            "shading_model = 'MSM_Subsurface' AND texture_sample_count > 16",
+        ),
+    ]
+
+
 def metadata_lint(table: DataFrame, rules: list[MetadataRule]) -> DataFrame:
     """One pass over the table for all rules."""
     hits = [

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stowage.functions import paths
+from stowage.operators import graph
 from stowage.session import settle
 
 
@@ -45,18 +46,26 @@ def one_row(parts: dict[str, DataFrame]) -> DataFrame:
     return stacked.agg(*[F.max(n).alias(n) for n in names])
 
 
+def side_by_side(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Two one-row tables as one row."""
+    names = [F.col(name) for name in right.columns]
+    row = right.select(F.struct(*names).alias("v")).scalar()
+    return left.select("*", *(row[name].alias(name) for name in right.columns))
+
+
 def project_totals(assets: DataFrame, nodes: DataFrame, edges: DataFrame, reported_cycles: DataFrame) -> DataFrame:
     """Totals over asset rows and edges.
 
     `unreferenced` here is plain in-degree zero over all vertices: no type or per-actor filter.
     """
-    referenced = edges.select(F.col("to_path").alias("asset_path")).distinct()
     row = one_row(
         {
             "total_assets": assets.agg(F.count(F.lit(1)).alias("n")),
             "total_bytes": assets.agg(F.coalesce(F.sum("file_size"), F.lit(0)).alias("n")),
             "total_edges": edges.agg(F.count(F.lit(1)).alias("n")),
-            "unreferenced": nodes.join(referenced, "asset_path", "left_anti").agg(F.count(F.lit(1)).alias("n")),
+            "unreferenced": graph.unreferenced(nodes, edges, excluded_types=(), exclude_per_actor=False).agg(
+                F.count(F.lit(1)).alias("n")
+            ),
             "cycles": reported_cycles.agg(F.count(F.lit(1)).alias("n")),
         }
     )
@@ -103,20 +112,21 @@ def complexity_ranking(assets: DataFrame, metrics: DataFrame) -> DataFrame:
     return positions(rows, F.desc("node_count"), F.asc("asset_path"))
 
 
-def export_table(assets: DataFrame, edges: DataFrame) -> DataFrame:
-    """Flat table for other tools: path, type, size and both degrees, ordered by path."""
-    outgoing = edges.groupBy(F.col("from_path").alias("asset_path")).agg(F.count(F.lit(1)).alias("deps_count"))
-    incoming = edges.groupBy(F.col("to_path").alias("asset_path")).agg(F.count(F.lit(1)).alias("in_degree"))
-    return (
-        assets.select("asset_path", "asset_type", "file_size")
-        .join(outgoing, "asset_path", "left")
-        .join(incoming, "asset_path", "left")
-        .select(
-            F.col("asset_path").alias("path"),
-            F.col("asset_type").alias("type"),
-            "file_size",
-            F.coalesce("deps_count", F.lit(0)).alias("deps_count"),
-            F.coalesce("in_degree", F.lit(0)).alias("in_degree"),
-        )
-        .orderBy("path")
-    )
+def export_table(assets: DataFrame, edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """Flat table for other tools: path, type, size and both degrees, ordered by path.
+
+    `assets` may be the result of a search; degrees are those in the whole graph. With stored
+    vertices (`nodes`) no edge is read.
+    """
+    rows = assets.select("asset_path", "asset_type", "file_size")
+    if nodes is not None:
+        rows = rows.join(nodes.select("asset_path", "in_degree", "out_degree"), "asset_path")
+    else:
+        rows = graph.degrees(rows, edges)
+    return rows.select(
+        F.col("asset_path").alias("path"),
+        F.col("asset_type").alias("type"),
+        "file_size",
+        F.col("out_degree").alias("deps_count"),
+        "in_degree",
+    ).orderBy("path")

@@ -2,19 +2,29 @@
 
 Questions run on an ingested catalogue, not on raw inputs: a table is derived once, written
 to the shared folder, and read back from there. Plans stay small, filters reach the Parquet
-scan, and Spark knows the real table sizes.
+scan, and Spark knows the real table sizes. That includes the analysed graph: internal edges,
+vertices with their degrees, and the members of all cycles.
 """
 
 from __future__ import annotations
 
 import uuid
-from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
 from stowage.operators import graph
 from stowage.plans import derived
 from stowage.session import configure, working_folder
+from stowage.sources import results
+
+
+# Tables that come from other tables of the catalogue.
+GRAPH = {
+    "edges": lambda cat: graph.internal_edges(cat.deps).repartitionByRange("to_path").sortWithinPartitions("to_path"),
+    "nodes": lambda cat: graph.degrees(graph.vertices(cat.assets, cat.edges), cat.edges),
+    # Members of all cycles, those with per-actor files included.
+    "members": lambda cat: graph.strong_components(cat.edges),
+}
 
 
 class Catalogue:
@@ -24,6 +34,7 @@ class Catalogue:
         self._source = source
         self._store = store.rstrip("/")
         self._tables: dict[str, DataFrame] = {}
+        self._saved: set[str] = set()
 
     @classmethod
     def derive(cls, spark: SparkSession, source: str) -> "Catalogue":
@@ -34,7 +45,7 @@ class Catalogue:
     def reopen(self) -> "Catalogue":
         """The same stored tables without anything computed from them."""
         other = Catalogue(self._spark, self._source, self._store)
-        other._tables = self._tables
+        other._tables, other._saved = self._tables, self._saved
         return other
 
     def table(self, view: str) -> DataFrame:
@@ -42,28 +53,23 @@ class Catalogue:
             self._tables[view] = self._open(view)
         return self._tables[view]
 
+    def saved_violations(self, name: str, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """A state's violations, saved on first use and then read from the store."""
+        folder = f"{self._store}/baselines/{name}"
+        if folder not in self._saved:
+            results.save_violations(found, folder)
+            self._saved.add(folder)
+        return results.load_violations(self._spark, folder)
+
     def _open(self, view: str) -> DataFrame:
         path = f"{self._store}/{view}"
         if self._source is None:
             return self._spark.read.parquet(path)
-        rows = derived.load(self._spark, self._source, view)
+        rows = GRAPH[view](self) if view in GRAPH else derived.load(self._spark, self._source, view)
         rows.write.parquet(path)
         return self._spark.read.schema(rows.schema).parquet(path)
 
     def __getattr__(self, view: str) -> DataFrame:
-        if view.startswith("_") or view not in derived.VIEWS:
+        if view.startswith("_") or view not in derived.VIEWS and view not in GRAPH:
             raise AttributeError(view)
         return self.table(view)
-
-    @property
-    def edges(self) -> DataFrame:
-        return graph.internal_edges(self.deps)
-
-    @property
-    def nodes(self) -> DataFrame:
-        return graph.vertices(self.assets, self.edges)
-
-    @cached_property
-    def members(self) -> DataFrame:
-        """Members of all cycles, those with per-actor files included."""
-        return graph.strong_components(self.edges)

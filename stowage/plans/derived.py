@@ -60,9 +60,10 @@ VIEWS = {
         SELECT '/Game/Orders/O_' || CAST(o_orderkey AS STRING) AS from_path, c.asset_path AS to_path, false AS is_soft
         FROM orders JOIN cust_assets c ON o_custkey = c.c_custkey
         UNION ALL
-        SELECT '/Game/Orders/O_' || CAST(l_orderkey AS STRING), p.asset_path, l_linenumber >= 4
+        SELECT '/Game/Orders/O_' || CAST(l_orderkey AS STRING),
+               CASE WHEN p_partkey % 5 = 0 THEN '/Game/Moved/P' || CAST(p_partkey AS STRING) ELSE p.asset_path END,
+               l_linenumber >= 4
         FROM lineitem JOIN part_assets p ON l_partkey = p.p_partkey
-        WHERE l_orderkey % 3 = 0 AND l_partkey % 5 <> 0
         UNION ALL
         SELECT asset_path, '/Game/World/DT_' || CAST(c_nationkey AS STRING), false FROM cust_assets
         UNION ALL
@@ -104,6 +105,28 @@ VIEWS = {
                CAST(CASE WHEN p_partkey % 7 <> 0 THEN p_size * 16 END AS BIGINT) AS source_x,
                CAST(p_size * 32 AS BIGINT) AS source_y
         FROM texture_metadata m JOIN part_assets p ON p.asset_path = m.asset_path""",
+    "mesh_details": """
+        SELECT asset_path, p_partkey % 3 + 1 AS lod_count, CAST(p_size * 700 AS BIGINT) AS triangle_count_lod0,
+               CASE WHEN p_partkey % 7 <> 0 THEN p_partkey % 2 = 0 END AS has_collision, p_partkey % 5 = 0 AS has_nanite,
+               CAST(CASE WHEN p_partkey % 11 <> 0 THEN p_size * 32 END AS BIGINT) AS lightmap_resolution
+        FROM part_assets WHERE asset_type = 'StaticMesh'""",
+    "sound_details": """
+        SELECT asset_path, file_size, p_size AS duration, p_partkey % 2 + 1 AS num_channels,
+               CASE WHEN p_partkey % 4 = 0 THEN 96000 ELSE 48000 END AS sample_rate,
+               CASE WHEN p_partkey % 3 = 0 THEN 100 WHEN p_partkey % 3 = 1 THEN 60 END AS compression_quality,
+               p_partkey % 5 = 0 AS is_streaming
+        FROM part_assets WHERE asset_type = 'SoundWave'""",
+    "material_details": """
+        SELECT asset_path, s_suppkey % 24 AS texture_sample_count, s_suppkey % 4 AS instance_chain_depth,
+               CASE WHEN s_suppkey % 3 = 0 THEN 'MSM_Subsurface' ELSE 'MSM_DefaultLit' END AS shading_model,
+               CASE WHEN s_suppkey % 2 = 0 THEN 'BLEND_Opaque' WHEN s_suppkey % 5 <> 0 THEN 'BLEND_Translucent' END AS blend_mode,
+               s_suppkey % 7 < 3 AS two_sided, s_suppkey % 5 < 2 AS uses_wpo
+        FROM supp_assets""",
+    "table_details": """
+        SELECT '/Game/World/DT_' || CAST(n_nationkey AS STRING) AS asset_path, 'DataTable' AS asset_type,
+               COUNT(c_custkey) * 200 AS row_count,
+               CASE WHEN n_nationkey % 4 <> 0 THEN '/Script/Row_' || CAST(n_nationkey AS STRING) END AS row_struct
+        FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey""",
     "prev_assets": """
         SELECT asset_path, CASE WHEN length(asset_path) % 17 = 0 THEN 'DataAsset' ELSE asset_type END AS asset_type,
                CASE WHEN length(asset_path) % 3 = 0 THEN CAST(floor(file_size / 2) AS BIGINT) ELSE file_size END AS file_size
@@ -142,10 +165,11 @@ VIEWS = {
     "baseline_errors": """
         SELECT name, snapshot_id, saved_at, blueprint_count AS errors
         FROM baselines JOIN scan_history ON snapshot_id = id""",
+    "properties": """
+        SELECT 'schema_version' AS key, CAST(min(r_regionkey) + 1 AS STRING) AS value FROM region
+        UNION ALL SELECT 'writer_version', '0.' || CAST(min(n_nationkey) + 1 AS STRING) || '.0' FROM nation""",
     "index_files": """
-        SELECT 'Content/' || substr(asset_path, 7) || '.uasset' AS file_path,
-               CAST(1700000000 + p_partkey * 60 AS BIGINT) AS last_modified
-        FROM part_assets""",
+        SELECT file_path, last_modified FROM assets""",
     "disk_files": """
         SELECT file_path, last_modified + CASE WHEN length(file_path) % 5 = 0 THEN 30
                                                WHEN length(file_path) % 7 = 0 THEN -30 ELSE 0 END AS mtime
@@ -173,7 +197,13 @@ def load(spark: SparkSession, folder: str, view: str) -> DataFrame:
     """One view of the derived catalogue over the Parquet tables in `folder`."""
     chain = needed(f" {view} ", VIEWS)
     text = " ".join(VIEWS[name] for name in chain)
-    for table in needed(text, BASE_TABLES):
-        spark.read.schema(BASE_TABLES[table]).parquet(f"{folder}/{table}.parquet").createOrReplaceTempView(table)
-    ctes = ", ".join(f"{name} AS ({VIEWS[name]})" for name in chain)
-    return spark.sql(f"WITH {ctes} SELECT * FROM {view}")
+    # The given tables go in as arguments, under names that no view of the caller has to give way to.
+    given = {
+        f"given_{table}": spark.read.schema(BASE_TABLES[table]).parquet(f"{folder}/{table}.parquet")
+        for table in needed(text, BASE_TABLES)
+    }
+    ctes = ", ".join(
+        [f"{name.removeprefix('given_')} AS (SELECT * FROM {{{name}}})" for name in given]
+        + [f"{name} AS ({VIEWS[name]})" for name in chain]
+    )
+    return spark.sql(f"WITH {ctes} SELECT * FROM {view}", **given)

@@ -60,11 +60,11 @@ HELPERS = {
         SELECT component, count(*) AS size, string_agg(asset_path, '|' ORDER BY asset_path) AS members FROM prev_comp
         GROUP BY component HAVING NOT bool_or(contains(asset_path, '/__ExternalActors__/')
                                            OR contains(asset_path, '/__ExternalObjects__/'))""",
-    # Shortest distance from b back to a: layers are bounded because the deepest chain is short.
+    # Distance from b back to a by walks that never return to a vertex: loops end by themselves.
     "layers": """
-        SELECT asset_path AS root, asset_path AS vertex, 0 AS depth FROM layer_roots
-        UNION SELECT layers.root, iedges.from_path, layers.depth + 1
-        FROM layers JOIN iedges ON layers.vertex = iedges.to_path WHERE layers.depth < 8""",
+        SELECT asset_path AS root, asset_path AS vertex, 0 AS depth, [asset_path] AS been FROM layer_roots
+        UNION ALL SELECT layers.root, iedges.from_path, layers.depth + 1, list_append(layers.been, iedges.from_path)
+        FROM layers JOIN iedges ON layers.vertex = iedges.to_path WHERE NOT list_contains(layers.been, iedges.from_path)""",
     "back": """
         SELECT root, vertex, min(depth) AS depth FROM layers GROUP BY root, vertex HAVING root <> vertex""",
     "named": "SELECT *, split_part(asset_path, '/', -1) AS name FROM assets",
@@ -232,20 +232,27 @@ def over_layers(root_types: str, query: str) -> str:
 
 
 FORWARD = """
-    fwd AS (SELECT asset_path AS root, asset_path AS vertex, 0 AS depth FROM assets
+    fwd AS (SELECT asset_path AS root, asset_path AS vertex, 0 AS depth, [asset_path] AS been FROM assets
             WHERE asset_type IN ('DataAsset', 'Blueprint', 'MaterialInstance')
-            UNION SELECT fwd.root, iedges.to_path, fwd.depth + 1
-            FROM fwd JOIN iedges ON fwd.vertex = iedges.from_path WHERE fwd.depth < 8),
+            UNION ALL SELECT fwd.root, iedges.to_path, fwd.depth + 1, list_append(fwd.been, iedges.to_path)
+            FROM fwd JOIN iedges ON fwd.vertex = iedges.from_path WHERE NOT list_contains(fwd.been, iedges.to_path)),
     first_met AS (SELECT root, vertex, min(depth) AS depth FROM fwd GROUP BY root, vertex), |"""
 
 
-def paths_cte(root_types: str, at: str, to: str) -> str:
+def tree_cte(root_types: str, at: str, to: str) -> str:
+    """`tree`: every edge reached from a root, with the depth of its ends and whether it closes a cycle."""
     return f"""
-    trails AS (SELECT asset_path AS root, '' AS parent, asset_path AS last, [asset_path] AS trail, 0 AS depth, false AS is_cycle
-               FROM assets WHERE asset_type IN ({root_types})
-               UNION ALL
-               SELECT t.root, t.last, i.{to}, list_append(t.trail, i.{to}), t.depth + 1, list_contains(t.trail, i.{to})
-               FROM trails t JOIN iedges i ON i.{at} = t.last WHERE t.depth < 3 AND NOT t.is_cycle), |"""
+    walk AS (SELECT asset_path AS root, asset_path AS vertex, 0 AS depth, [asset_path] AS been
+             FROM assets WHERE asset_type IN ({root_types})
+             UNION ALL
+             SELECT w.root, i.{to}, w.depth + 1, list_append(w.been, i.{to})
+             FROM walk w JOIN iedges i ON i.{at} = w.vertex WHERE NOT list_contains(w.been, i.{to})),
+    met AS (SELECT root, vertex, min(depth) AS depth FROM walk GROUP BY root, vertex),
+    tree AS (SELECT m.root, m.vertex AS parent, i.{to} AS asset_path, m.depth + 1 AS depth, c.depth AS met_at,
+                    coalesce(i.from_path = i.to_path OR (c.depth <= m.depth AND p.component = k.component), false) AS is_cycle
+             FROM met m JOIN iedges i ON i.{at} = m.vertex
+             JOIN met c ON c.root = m.root AND c.vertex = i.{to}
+             LEFT JOIN comp p ON p.asset_path = m.vertex LEFT JOIN comp k ON k.asset_path = i.{to}), |"""
 
 
 TEXTURE_RULES = """
@@ -300,11 +307,11 @@ DIFF = """
     FROM blueprint_metrics m JOIN prev_metrics p USING (asset_path) WHERE asset_path IN (SELECT asset_path FROM both_sides)"""
 
 CHAINS = """
-    chains AS (SELECT asset_path AS source, asset_path AS target, asset_path AS chain, 0 AS hops
+    chains AS (SELECT asset_path AS source, asset_path AS target, asset_path AS chain, 0 AS hops, [asset_path] AS been
                FROM assets WHERE asset_type = 'World'
                UNION ALL
-               SELECT c.source, i.from_path, c.chain || ' > ' || i.from_path, c.hops + 1
-               FROM chains c JOIN iedges i ON i.to_path = c.target WHERE c.hops < 6), |
+               SELECT c.source, i.from_path, c.chain || ' > ' || i.from_path, c.hops + 1, list_append(c.been, i.from_path)
+               FROM chains c JOIN iedges i ON i.to_path = c.target WHERE NOT list_contains(c.been, i.from_path)), |
     SELECT c.source, c.target, CAST(best AS BIGINT) AS hops, min(c.chain) AS chain
     FROM chains c JOIN (SELECT source, target, min(hops) AS best FROM chains GROUP BY 1, 2) b
       ON b.source = c.source AND b.target = c.target AND b.best = c.hops
@@ -423,6 +430,10 @@ QUERIES = {
     "export_table": """
         SELECT asset_path AS path, asset_type AS type, file_size, coalesce(o.n, 0) AS deps_count, coalesce(i.n, 0) AS in_degree
         FROM assets LEFT JOIN in_deg i USING (asset_path) LEFT JOIN out_deg o USING (asset_path)""",
+    "export_filtered": """
+        SELECT asset_path AS path, asset_type AS type, file_size, coalesce(o.n, 0) AS deps_count, coalesce(i.n, 0) AS in_degree
+        FROM assets LEFT JOIN in_deg i USING (asset_path) LEFT JOIN out_deg o USING (asset_path)
+        WHERE asset_type = 'Texture2D' AND file_size >= 4194304 AND regexp_full_match(file_path, '.*/T_.*')""",
     # scalar functions
     "leaf_name": "SELECT asset_path, name AS leaf FROM named",
     "relative_path": """
@@ -481,17 +492,16 @@ QUERIES = {
     + """SELECT root AS asset_path, count(*) FILTER (depth = 1) AS direct_count, count(*) FILTER (depth > 1) AS transitive_count,
                 CAST(sum(coalesce(file_size, 0)) AS BIGINT) AS total_bytes
          FROM first_met LEFT JOIN assets ON assets.asset_path = vertex GROUP BY root""",
-    "deps_paths": paths_cte("'DataAsset', 'MaterialInstance'", "from_path", "to_path")
-    + """SELECT root, parent, last AS asset_path, depth, is_cycle,
-                CAST(CASE WHEN depth = 3 AND NOT is_cycle THEN coalesce(n, 0) ELSE 0 END AS BIGINT) AS hidden_children,
-                array_to_string(trail, ' > ') AS path
-         FROM trails LEFT JOIN out_deg ON out_deg.asset_path = last WHERE depth > 0""",
-    "impact_paths": paths_cte("'World', 'Material'", "to_path", "from_path")
-    + """SELECT root AS target, last AS asset_path, depth,
+    "deps_paths": tree_cte("'DataAsset', 'MaterialInstance'", "from_path", "to_path")
+    + "SELECT root, parent, asset_path, depth, is_cycle, CAST(0 AS BIGINT) AS hidden_children FROM tree",
+    "deps_paths_capped": tree_cte("'DataAsset', 'MaterialInstance'", "from_path", "to_path")
+    + """SELECT root, parent, t.asset_path, depth, is_cycle,
+                CAST(CASE WHEN met_at = 2 THEN coalesce(n, 0) ELSE 0 END AS BIGINT) AS hidden_children
+         FROM tree t LEFT JOIN out_deg USING (asset_path) WHERE depth <= 2""",
+    "impact_paths": tree_cte("'World', 'Material'", "to_path", "from_path")
+    + """SELECT root AS target, parent, asset_path, depth,
                 CASE WHEN is_cycle THEN 'cycle' WHEN depth = 1 THEN 'direct' ELSE 'transitive' END AS kind,
-                CASE WHEN NOT is_cycle AND depth > 1 THEN split_part(parent, '/', -1) END AS via,
-                array_to_string(trail, ' > ') AS path
-         FROM trails WHERE depth > 0""",
+                CASE WHEN NOT is_cycle AND depth > 1 THEN split_part(parent, '/', -1) END AS via FROM tree""",
     "redirectors": "SELECT asset_path, file_size FROM assets WHERE asset_type = 'ObjectRedirector'",
     "material_chain": """
         SELECT a.asset_path, CAST(coalesce(max(CASE WHEN list_contains(seen, spot) THEN 0 ELSE depth END), 0) AS BIGINT) AS chain_depth
@@ -518,6 +528,27 @@ QUERIES = {
         UNION ALL SELECT 'lint', 'warn', 'custom/name-length', asset_path, 'name has ' || length(name) || ' characters'
         FROM named WHERE length(name) > 14""",
     "lint_texture": TEXTURE_RULES,
+    "lint_metadata": """
+        SELECT 'lint' AS "check", severity, rule, asset_path, rule AS message FROM (
+            SELECT asset_path, 'warn' AS severity, 'lint/static-mesh/no-lod' AS rule FROM mesh_details
+            WHERE lod_count = 1 AND triangle_count_lod0 > 10000
+            UNION ALL SELECT asset_path, 'warn', 'lint/static-mesh/high-lightmap-res' FROM mesh_details WHERE lightmap_resolution > 512
+            UNION ALL SELECT asset_path, 'warn', 'lint/static-mesh/no-collision' FROM mesh_details WHERE has_collision = false
+            UNION ALL SELECT asset_path, 'info', 'lint/static-mesh/nanite-no-lod' FROM mesh_details WHERE has_nanite AND lod_count >= 2
+            UNION ALL SELECT asset_path, 'warn', 'lint/sound/stereo-ambient' FROM sound_details WHERE duration > 10 AND num_channels = 2
+            UNION ALL SELECT asset_path, 'error', 'lint/sound/uncompressed' FROM sound_details
+            WHERE compression_quality = 100 AND file_size > 2 * 1024 * 1024
+            UNION ALL SELECT asset_path, 'warn', 'lint/sound/high-sample-rate' FROM sound_details WHERE sample_rate > 48000
+            UNION ALL SELECT asset_path, 'warn', 'lint/sound/non-streaming-large' FROM sound_details WHERE duration > 30 AND is_streaming = false
+            UNION ALL SELECT asset_path, 'warn', 'lint/material/too-many-texture-samples' FROM material_details WHERE texture_sample_count > 12
+            UNION ALL SELECT asset_path, 'warn', 'lint/material/deep-instance-chain' FROM material_details WHERE instance_chain_depth > 2
+            UNION ALL SELECT asset_path, 'warn', 'lint/material/wpo-on-opaque' FROM material_details WHERE uses_wpo AND blend_mode = 'BLEND_Opaque'
+            UNION ALL SELECT asset_path, 'warn', 'lint/material/translucent-two-sided' FROM material_details
+            WHERE two_sided AND blend_mode = 'BLEND_Translucent'
+            UNION ALL SELECT asset_path, 'error', 'lint/material/subsurface-high-sample-count' FROM material_details
+            WHERE shading_model = 'MSM_Subsurface' AND texture_sample_count > 16
+            UNION ALL SELECT asset_path, 'warn', 'lint/data-table/large-table' FROM table_details WHERE row_count > 10000
+            UNION ALL SELECT asset_path, 'error', 'lint/data-table/missing-struct' FROM table_details WHERE row_struct IS NULL)""",
     "budget": """
         SELECT asset_path, asset_type, file_size, max_size, excess_bytes, 'budget/' || lower(asset_type) AS rule FROM over""",
     "budget_by_type": """
@@ -585,10 +616,15 @@ QUERIES = {
             UNION ALL SELECT 'violations', (SELECT count(*) FROM errors_before), (SELECT count(*) FROM errors_now)
             UNION ALL SELECT 'dead_assets', (SELECT count(*) FROM prev_dead), (SELECT count(*) FROM dead)
             UNION ALL SELECT 'cycles', (SELECT count(*) FROM prev_reported), (SELECT count(*) FROM reported))""",
+    "baseline_summary": """
+        SELECT (SELECT count(*) FROM errors_before) AS errors,
+               (SELECT count(*) FROM prev_assets JOIN prefixes USING (asset_type)
+                WHERE NOT list_bool_or([starts_with(split_part(asset_path, '/', -1), p) for p in allowed])) AS warnings,
+               (SELECT count(*) FROM regressed) AS regressions, (SELECT count(*) FROM regressed) = 0 AS passed""",
     "catalogue_health": """
         SELECT 'assets' AS "check", (SELECT count(*) FROM assets) > 0 AS ok, (SELECT count(*) FROM assets) || ' assets' AS detail
-        UNION ALL SELECT 'schema_version', true, '1 (expected 1)'
-        UNION ALL SELECT 'writer_version', false, '0.1.0 (expected 0.2.0)'
+        UNION ALL SELECT key, value = '1', value || ' (expected 1)' FROM properties WHERE key = 'schema_version'
+        UNION ALL SELECT key, value = '0.2.0', value || ' (expected 0.2.0)' FROM properties WHERE key = 'writer_version'
         UNION ALL SELECT 'last_scan', true,
             ((1707000000 - (SELECT max(scanned_at) FROM scan_history)) // 86400) || ' days ago'""",
     "trend": """
@@ -606,6 +642,17 @@ QUERIES = {
     "debounced_events": """
         SELECT epoch_ms(ts) // 7200000 * 7200000 AS window_start_ms, asset_path, arg_max(kind, (ts, event_id)) AS kind,
                count(*) AS merged FROM pkg_events GROUP BY 1, 2""",
+    "debounced_from_first": """
+        openings AS (
+            SELECT asset_path, min(ts) AS opened FROM pkg_events GROUP BY asset_path
+            UNION ALL
+            SELECT o.asset_path, (SELECT min(e.ts) FROM pkg_events e
+                                  WHERE e.asset_path = o.asset_path AND e.ts >= o.opened + INTERVAL 2 HOUR)
+            FROM openings o WHERE o.opened IS NOT NULL), |
+        SELECT epoch_ms(o.opened) AS window_start_ms, o.asset_path, arg_max(e.kind, (e.ts, e.event_id)) AS kind, count(*) AS merged
+        FROM openings o JOIN pkg_events e
+          ON e.asset_path = o.asset_path AND e.ts >= o.opened AND e.ts < o.opened + INTERVAL 2 HOUR
+        GROUP BY o.asset_path, o.opened""",
     "new_dead": "SELECT asset_path FROM dead_all WHERE asset_path NOT IN (SELECT asset_path FROM prev_dead_all)",
     "new_cycles": "SELECT component, size FROM reported WHERE members NOT IN (SELECT members FROM prev_reported)",
 }

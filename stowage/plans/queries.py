@@ -106,7 +106,7 @@ def path_convert(cat):
 @query
 def path_validity(cat):
     path = F.col("asset_path")
-    variants = F.explode(F.array(path, F.concat(path, F.lit(".uasset")), F.substring(path, 2, 1000)))
+    variants = F.explode(F.array(path, F.concat(path, F.lit(".uasset")), F.expr("substring(asset_path, 2)")))
     return cat.assets.select(variants.alias("candidate")).withColumn(
         "valid", paths.is_valid_asset_path(F.col("candidate"))
     )
@@ -208,7 +208,7 @@ def find_unreferenced(cat):
 
 @query
 def find_refs(cat):
-    return find.among(cat.assets, graph.impact(cat.edges, of_type(cat, "World")))
+    return find.among(cat.assets, graph.referrers_of_any(cat.edges, of_type(cat, "World")))
 
 
 @query
@@ -317,7 +317,13 @@ def blueprint_rank(cat):
 
 @query
 def export_table(cat):
-    return stats.export_table(cat.assets, cat.edges)
+    return stats.export_table(cat.assets, cat.edges, cat.nodes)
+
+
+@query
+def export_filtered(cat):
+    wanted = find.find(cat.assets, asset_type="Texture2D", min_size=4 * MIB, path_glob="*/T_*")
+    return stats.export_table(wanted, cat.edges)
 
 
 # ---------------------------------------------------------------- scalar functions
@@ -367,7 +373,7 @@ def days_since_scan(cat):
 
 @query
 def vertices(cat):
-    return cat.nodes
+    return cat.nodes.drop("in_degree", "out_degree")
 
 
 @query
@@ -433,20 +439,25 @@ def deps_closure(cat):
 
 @query
 def deps_paths(cat):
-    return graph.walk_paths(cat.edges, of_type(cat, "DataAsset", "MaterialInstance"), 3)
+    return graph.reference_tree(cat.edges, cat.members, of_type(cat, "DataAsset", "MaterialInstance"))
+
+
+@query
+def deps_paths_capped(cat):
+    return graph.reference_tree(cat.edges, cat.members, of_type(cat, "DataAsset", "MaterialInstance"), max_depth=2)
 
 
 @query
 def impact_paths(cat):
-    rows = graph.walk_paths(cat.edges, of_type(cat, "World", "Material"), 3, reverse=True)
+    rows = graph.reference_tree(cat.edges, cat.members, of_type(cat, "World", "Material"), reverse=True)
     kind = F.when(F.col("is_cycle"), "cycle").when(F.col("depth") == 1, "direct").otherwise("transitive")
     return rows.select(
         F.col("root").alias("target"),
+        "parent",
         "asset_path",
         "depth",
         kind.alias("kind"),
         F.when(kind == "transitive", paths.leaf_name(F.col("parent"))).alias("via"),
-        "path",
     )
 
 
@@ -469,19 +480,8 @@ def clean_plan(cat):
 @query
 def shortest_path(cat):
     sources = of_type(cat, "World").select(F.col("asset_path").alias("source"))
-    # Every order is a target of every world, found by walking, not by pairing them up.
-    found = graph.reach(
-        graph.Adjacency(cat.edges, "to_path", "from_path"),
-        sources.withColumnRenamed("source", "root"),
-        chains=True,
-    )
-    goals = of_type(cat, "DataAsset").select(F.col("asset_path").alias("target"))
-    return found.select(
-        F.col("root").alias("source"),
-        F.col("vertex").alias("target"),
-        F.col("depth").cast("bigint").alias("hops"),
-        "chain",
-    ).join(goals, "target", "left_semi")
+    found = graph.shortest_chains_to(cat.edges, sources, of_type(cat, "DataAsset"))
+    return found.select("source", "target", F.col("hops").cast("bigint").alias("hops"), "chain")
 
 
 @query
@@ -534,6 +534,17 @@ def lint_texture(cat):
     return rules.metadata_lint(cat.texture_details, rules.TEXTURE_RULES)
 
 
+@query
+def lint_metadata(cat):
+    families = [
+        (cat.mesh_details, rules.STATIC_MESH_RULES),
+        (cat.sound_details, rules.SOUND_RULES),
+        (cat.material_details, rules.material_rules(max_samples=12, max_chain=2)),
+        (cat.table_details, rules.DATA_TABLE_RULES),
+    ]
+    return rules.union([rules.metadata_lint(table, own) for table, own in families], cat.assets)
+
+
 @query
 def budget(cat):
     over = rules.over_budget(cat.assets, rules.effective_budgets(CONFIGURED_BUDGETS))
@@ -547,7 +558,12 @@ def budget_by_type(cat):
 
 def suite(cat: Catalogue, config: CheckConfig | None = None) -> DataFrame:
     return checks.violations(
-        cat.assets, cat.edges, cat.blueprint_metrics, config or CheckConfig(budgets=CHECK_BUDGETS)
+        cat.assets,
+        cat.edges,
+        cat.blueprint_metrics,
+        config or CheckConfig(budgets=CHECK_BUDGETS),
+        nodes=cat.nodes,
+        members=cat.members,
     )
 
 
@@ -615,7 +631,7 @@ def health_summary(cat):
 @query
 def audit(cat):
     found = rules.lint_report(cat.assets, cat.blueprint_metrics, LintConfig(), CONFIGURED_BUDGETS)
-    return compare.audit(cat.assets, cat.edges, found)
+    return compare.audit(cat.assets, cat.edges, found, cat.nodes)
 
 
 # ---------------------------------------------------------------- comparing states
@@ -631,6 +647,15 @@ def baseline_and_current(cat: Catalogue) -> tuple[DataFrame, DataFrame]:
     return before, _error_suite(cat.assets, cat.edges, cat.blueprint_metrics)
 
 
+@query
+def baseline_summary(cat):
+    """The state before, saved and read back, against the state now."""
+    before, now = baseline_and_current(cat)
+    saved, totals = cat.saved_violations("before", before)
+    verdict = checks.regression_gate(saved, now)
+    return stats.side_by_side(totals.select("errors", "warnings"), verdict)
+
+
 @query
 def size_increases(cat):
     return compare.size_increases(cat.prev_assets, cat.assets)
@@ -694,7 +719,7 @@ def catalogue_health(cat):
     return compare.catalogue_health(
         cat.assets,
         cat.scan_history,
-        properties={"schema_version": "1", "writer_version": "0.1.0"},
+        cat.properties,
         expected={"schema_version": "1", "writer_version": "0.2.0"},
         now=NOW,
     )
@@ -720,6 +745,13 @@ def debounced_events(cat):
     )
 
 
+@query
+def debounced_from_first(cat):
+    return changes.debounce_from_first(cat.pkg_events, "2 hours").select(
+        F.unix_millis("window_start").alias("window_start_ms"), "asset_path", "kind", "merged"
+    )
+
+
 @query
 def new_dead(cat):
     return compare.new_dead(cat.prev_assets, graph.internal_edges(cat.prev_deps), cat.assets, cat.edges)

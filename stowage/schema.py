@@ -38,6 +38,11 @@ BASELINES = _struct(("name", S), ("snapshot_id", L), ("saved_at", L))
 VIOLATIONS = _struct(("check", S), ("severity", S), ("rule", S), ("asset_path", S), ("message", S))
 CHANGE_EVENTS = _struct(("event_id", L), ("ts", T.TimestampType()), ("asset_path", S), ("kind", S))
 
+PROPERTIES = _struct(("key", S), ("value", S))
+SCHEMA_VERSION = "1"
+
+# Small tables that every version holds in full: rows follow scans, not assets.
+CARRIED_TABLES = {"scan_history": SCAN_HISTORY, "baselines": BASELINES, "properties": PROPERTIES}
 # Tables of one catalogue snapshot, in the order they are written.
 SNAPSHOT_TABLES = {
     "assets": ASSETS,

@@ -87,15 +87,17 @@ def settle_observed(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
     return spark.read.schema(df.schema).parquet(path), observation.get
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files behind a settled frame that nothing will read again."""
-    spark = df.sparkSession
-    root = working_folder(spark)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
-        if "/settled-" in folder and root.rsplit("/", 1)[1] in folder:
-            path = hadoop.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*settled: DataFrame) -> None:
+    """Delete the files behind settled frames that nothing will read again.
+
+    Files of any other origin are left alone, so a frame that may or may not be settled is fine.
+    """
+    for df in settled:
+        context = df.sparkSession.sparkContext
+        for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+            if f"/{context.applicationId}/settled-" in folder:
+                path = context._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def settle_partitioned(df: DataFrame, *keys: str) -> DataFrame:

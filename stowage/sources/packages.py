@@ -83,7 +83,7 @@ def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 row.update(read_package(data, path.lower().endswith(".umap")))
             except Rejected as error:
                 row["reason"] = str(error)
-            except OSError as error:
+            except (OSError, ValueError) as error:  # a store Arrow does not know is a ValueError
                 row["reason"] = f"io error: {error}"
             # One row per batch: a package's tables may be large, and only one is held at a time.
             yield pd.DataFrame([row])

@@ -1,17 +1,22 @@
 """Versioned catalogue snapshots in Parquet.
 
-A version is a folder with all tables; it exists once its marker has been written, which
-happens last. Readers therefore never see half a version, and a batch that is run again
-writes nothing twice.
+A full version is a folder with all tables. A version of changes holds the rows of the assets it
+touched and the list of those assets; reading it puts it on top of the versions before, back to
+the last full one. A version exists once its marker has been written, which happens last, so
+readers never see half a version. The marker also keeps a note, by which a writer recognises
+its own last version.
 """
 
 from __future__ import annotations
 
+import json
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stowage import schema
-from stowage.operators import tables
+from stowage import __version__, schema
+from stowage.operators import compare, tables
 from stowage.session import settle
 from stowage.sources import inventory, packages
 
@@ -38,10 +43,14 @@ class SnapshotStore:
         published = [int(name[2:-3]) for name in names if name.startswith("v=") and name.endswith(".ok")]
         return sorted(published)
 
-    def write(self, version: int, contents: dict[str, DataFrame]) -> None:
-        """Write all tables, then publish. A published version is never written again."""
-        if version in self.versions():
-            return
+    def _save(self, version: int, contents: dict[str, DataFrame]) -> None:
+        published = self.versions()
+        for name, columns in schema.CARRIED_TABLES.items():
+            table = contents.get(name)
+            if table is None:  # as it was
+                table = self.small(name, published[-1]) if published else self.spark.createDataFrame([], columns)
+            table = table.select(*[F.col(f.name).cast(f.dataType) for f in columns])
+            table.coalesce(1).write.mode("overwrite").parquet(f"{self._folder(version)}/{name}")
         for name, columns in schema.SNAPSHOT_TABLES.items():
             table = contents.get(name)
             if table is None:
@@ -50,10 +59,60 @@ class SnapshotStore:
             table = table.select(*[F.col(f.name).cast(f.dataType) for f in columns])
             if name == "deps":
                 # Both directions of a walk start from a key; keep rows of a target together.
-                table = table.sortWithinPartitions("to_path", "from_path")
+                table = table.repartitionByRange("to_path").sortWithinPartitions("to_path", "from_path")
             table.write.mode("overwrite").parquet(f"{self._folder(version)}/{name}")
-        marker, files = self._path(self._folder(version) + ".ok")
-        files.create(marker, True).close()
+
+    def _publish(self, version: int, marker: dict) -> None:
+        path, files = self._path(self._folder(version) + ".ok")
+        out = files.create(path, True)
+        out.write(bytearray(json.dumps(marker).encode()))
+        out.close()
+
+    def _marker(self, version: int) -> dict:
+        path, files = self._path(self._folder(version) + ".ok")
+        source = files.open(path)
+        try:
+            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
+        finally:
+            source.close()
+        return json.loads(text) if text else {}
+
+    def note(self, version: int) -> str | None:
+        return self._marker(version).get("note")
+
+    def write(self, version: int, contents: dict[str, DataFrame], note: str | None = None) -> None:
+        """Write all tables, then publish. A published version is never written again."""
+        if version in self.versions():
+            return
+        self._save(version, contents)
+        self._publish(version, {"note": note})
+
+    def stage_changes(self, version: int, fresh: dict[str, DataFrame], touched: DataFrame) -> dict[str, DataFrame]:
+        """Write what a version changes without publishing it; returns the catalogue as it would be."""
+        self._save(version, fresh)
+        touched.select("asset_path").distinct().write.mode("overwrite").parquet(f"{self._folder(version)}/touched")
+        return self._stacked([*self.chain(self.versions()[-1]), version])
+
+    def publish_changes(self, version: int, note: str | None = None) -> None:
+        self._publish(version, {"note": note, "below": self.versions()[-1]})
+
+    def small(self, name: str, version: int | None = None) -> DataFrame:
+        """History, baselines or properties as of a version, by default the newest."""
+        published = [version] if version is not None else self.versions()[-1:]
+        columns = schema.CARRIED_TABLES[name]
+        if published:
+            folder = f"{self._folder(published[0])}/{name}"
+            path, files = self._path(folder)
+            if files.exists(path):  # versions of the first schema have none
+                return self.spark.read.schema(columns).parquet(folder)
+        return self.spark.createDataFrame([], columns)
+
+    def chain(self, version: int) -> list[int]:
+        """The versions that make up this one: a full one, then changes in order."""
+        found = [version]
+        while (below := self._marker(found[0]).get("below")) is not None:
+            found.insert(0, below)
+        return found
 
     def read(self, version: int | None = None) -> dict[str, DataFrame]:
         """Tables of a version, by default the newest; empty tables when there is none."""
@@ -62,10 +121,29 @@ class SnapshotStore:
             if not published:
                 return {n: self.spark.createDataFrame([], s) for n, s in schema.SNAPSHOT_TABLES.items()}
             version = published[-1]
-        return {
-            name: self.spark.read.schema(columns).parquet(f"{self._folder(version)}/{name}")
-            for name, columns in schema.SNAPSHOT_TABLES.items()
-        }
+        return self._stacked(self.chain(version))
+
+    def _stacked(self, chain: list[int]) -> dict[str, DataFrame]:
+        base, *changes = chain
+        load = lambda v, name, columns: self.spark.read.schema(columns).parquet(f"{self._folder(v)}/{name}")
+        tables_ = {name: load(base, name, columns) for name, columns in schema.SNAPSHOT_TABLES.items()}
+        if not changes:
+            return tables_
+        # The last version that touched an asset holds all its rows, if it still has any.
+        touches = None
+        for v in changes:
+            rows = load(v, "touched", "asset_path string").withColumn("__last", F.lit(v))
+            touches = rows if touches is None else touches.unionByName(rows)
+        last = touches.groupBy("asset_path").agg(F.max("__last").alias("__last"))
+        for name, columns in schema.SNAPSHOT_TABLES.items():
+            key = "from_path" if name == "deps" else "asset_path"
+            rows = tables_[name].withColumn("__v", F.lit(base))
+            for v in changes:
+                rows = rows.unionByName(load(v, name, columns).withColumn("__v", F.lit(v)))
+            joined = rows.join(last.withColumnRenamed("asset_path", key), key, "left")
+            current = joined.where(F.col("__v") == F.coalesce("__last", F.lit(base)))
+            tables_[name] = current.select(*columns.fieldNames())
+        return tables_
 
 
 def apply_changes(
@@ -87,16 +165,26 @@ def scan(
     content_root: str,
     rules: inventory.ScanRules | None = None,
     full_scan: bool = False,
+    now: int | None = None,
+    save_baseline: str | None = None,
+    files: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """Scan a folder into the next version: list, decode what changed, merge, publish.
+    """Scan a project into the next version: list, decode what changed, merge, record, publish.
+
+    `files` is an inventory (file_path, mtime, length) that some other job has listed; without
+    one the project folder is listed through Spark's file source, which holds the listing in the
+    driver. Every version gets its row in the history, and with `save_baseline` a name.
 
-    Returns one-row `delta` counts and the `skipped` files. A package that changed but no
-    longer decodes keeps its previous row and is tried again next time.
+    Returns one-row `delta` counts, the `skipped` files, and what the scan changed: `added` and
+    `deleted` assets, `grown` files. A package that changed but no longer decodes keeps its
+    previous row and is tried again next time.
     """
     spark = store.spark
     rules = rules or inventory.ScanRules()
+    now = int(time.time()) if now is None else now
     current = store.read()
-    listed, _ = settle(inventory.taken(inventory.discover(spark, project), rules, project))
+    found = inventory.discover(spark, project) if files is None else files
+    listed, _ = settle(inventory.taken(found, rules, project))
     index = current["assets"]
     changed = inventory.changed_files(listed, index, full_scan)
     decoded, _ = settle(packages.decode(changed))
@@ -104,6 +192,25 @@ def scan(
     gone = inventory.stale_files(listed, index).select("asset_path")
     delta, _ = settle(inventory.ingest_delta(listed, index, fresh["skipped"]))
     published = store.versions()
-    store.write((published[-1] + 1) if published else 1, apply_changes(current, fresh, gone))
-    return {"delta": delta, "skipped": fresh["skipped"]}
-
+    version = (published[-1] + 1) if published else 1
+    after = {name: settle(table)[0] for name, table in apply_changes(current, fresh, gone).items()}
+    row = tables.scan_snapshot(after["assets"], after["blueprint_metrics"]).select(
+        F.lit(version).alias("id"), F.lit(now).alias("scanned_at"), "*"
+    )
+    names = store.small("baselines")
+    if save_baseline is not None:
+        names = tables.save_baseline(names, save_baseline, version, now)
+    known = [("schema_version", schema.SCHEMA_VERSION), ("writer_version", __version__)]
+    carried = {
+        "scan_history": store.small("scan_history").unionByName(row.select(*schema.SCAN_HISTORY.fieldNames())),
+        "baselines": names,
+        "properties": spark.createDataFrame(known, schema.PROPERTIES),
+    }
+    store.write(version, after | carried)
+    return {
+        "delta": delta,
+        "skipped": fresh["skipped"],
+        "added": compare.added(current["assets"], after["assets"]),
+        "deleted": compare.deleted(current["assets"], after["assets"]),
+        "grown": compare.size_increases(current["assets"], after["assets"]),
+    }

@@ -1,3 +1,4 @@
+import os
 import random
 
 import pytest
@@ -5,6 +6,7 @@ from pyspark.sql import functions as F
 
 from stowage.functions import skew
 from stowage.operators import graph
+from stowage.session import working_folder
 
 
 def paths_of(df, column="asset_path"):
@@ -143,6 +145,13 @@ def test_impact_never_lists_the_target(spark, make_edges):
     assert sorted(tuple(r) for r in counts.collect()) == [("/T", 1, 1), ("/none", 0, 0)]
 
 
+def test_referrers_of_a_set_leave_out_targets_that_only_reach_themselves(spark, make_edges, layout):
+    edges = make_edges(("/x", "/t"), ("/t", "/x"), ("/y", "/x"), ("/s", "/t"), ("/u", "/u"), ("/q", "/r"))
+    targets = spark.createDataFrame([("/t",), ("/s",), ("/u",), ("/none",)], "asset_path string")
+    got = sorted(r.asset_path for r in graph.referrers_of_any(edges, targets, **layout).collect())
+    assert got == ["/s", "/x", "/y"]
+
+
 def test_long_chain_passes_the_compaction_of_seen_vertices(spark, make_edges):
     edges = make_edges(*[(f"/c{i + 1:03d}", f"/c{i:03d}") for i in range(20)])
     targets = spark.createDataFrame([("/c000",)], "asset_path string")
@@ -157,11 +166,40 @@ def test_closure_counts_shared_dependencies_once(make_assets, make_edges):
     assert tuple(graph.closure_stats(edges, nodes, roots).first()) == ("/r", 2, 1, 1111)
 
 
-def test_paths_mark_cycles_and_hidden_children(make_assets, make_edges):
-    edges = make_edges(("/a", "/b"), ("/b", "/a"), ("/b", "/c"), ("/c", "/d"))
+def tree(edges, roots, **options):
+    rows = graph.reference_tree(edges, graph.strong_components(edges), roots, **options).collect()
+    return {(r.root, r.parent, r.asset_path): (r.depth, r.is_cycle, r.hidden_children) for r in rows}
+
+
+def test_hubs_are_split(make_assets, make_edges, layout):
+    hot = layout.get("hot_rows", skew.HOT_ROWS)
+    assets = make_assets(("/hub", "World", 7), ("/top", "World", 1), *[(f"/a{i}", "X", 10) for i in range(30)])
+    edges = make_edges(*[(f"/a{i}", "/hub") for i in range(30)], ("/hub", "/top"), ("/a0", "/a1"))
+    nodes = graph.vertices(assets, edges)
+    roots = assets.where("asset_type = 'X'").select("asset_path")
+    direct = graph.direct_dependencies(roots, edges, nodes, hot_rows=hot).collect()
+    assert len(direct) == 31 and {r.dep_type for r in direct if r.dep_path == "/hub"} == {"World"}
+    stats = {r.asset_path: tuple(r)[1:] for r in graph.closure_stats(edges, nodes, roots, **layout).collect()}
+    assert stats["/a5"] == (1, 1, 18) and stats["/a0"] == (2, 1, 28) and len(stats) == 30
+
+
+def test_trees_mark_cycles_and_hidden_children(make_assets, make_edges):
+    edges = make_edges(("/a", "/b"), ("/b", "/a"), ("/b", "/c"), ("/c", "/d"), ("/d", "/d"))
     roots = make_assets(("/a", "World")).select("asset_path")
-    rows = {r.path: (r.depth, r.is_cycle, r.hidden_children) for r in graph.walk_paths(edges, roots, 2).collect()}
-    assert rows == {"/a > /b": (1, False, 0), "/a > /b > /a": (2, True, 0), "/a > /b > /c": (2, False, 1)}
+    two = {("/a", "/a", "/b"): (1, False, 0), ("/a", "/b", "/a"): (2, True, 0), ("/a", "/b", "/c"): (2, False, 1)}
+    assert tree(edges, roots, max_depth=2) == two
+    four = {("/a", "/c", "/d"): (3, False, 0), ("/a", "/d", "/d"): (4, True, 0)}
+    assert tree(edges, roots) == {k: (d, c, 0) for k, (d, c, _) in two.items()} | four
+
+
+def test_tree_of_a_long_chain_a_diamond_and_a_hub(make_assets, make_edges, layout):
+    chain = [(f"/c{i:03d}", f"/c{i + 1:03d}") for i in range(150)]
+    diamond = [("/r", "/x"), ("/r", "/y"), ("/x", "/z"), ("/y", "/z"), ("/z", "/w")]
+    hub = [("/hub", f"/leaf{i}") for i in range(60)] + [("/r", "/hub")]
+    edges = make_edges(*chain, *diamond, *hub)
+    got = tree(edges, make_assets(("/c000", "World"), ("/r", "World")).select("asset_path"), **layout)
+    assert len(got) == 150 + 5 + 61
+    assert got[("/c000", "/c149", "/c150")] == (150, False, 0) and got[("/r", "/z", "/w")] == (3, False, 0)
 
 
 def test_shortest_chain_breaks_ties_by_text(spark, make_edges):
@@ -208,6 +246,18 @@ def test_new_cycles_compare_exact_member_sets(make_edges):
     assert sorted(tuple(r) for r in graph.new_cycles(before, after).collect()) == [("/a", 3), ("/p", 2)]
 
 
+def test_loops_leave_only_their_result(spark, make_edges, layout):
+    def settled():
+        folder = working_folder(spark).removeprefix("file:")
+        return {name for name in os.listdir(folder) if name.startswith("settled-")} if os.path.isdir(folder) else set()
+
+    before = settled()
+    pairs = [(f"/a{i}", f"/a{(i + 1) % 40}") for i in range(40)] + [(f"/t{i}", f"/t{i + 1}") for i in range(9)]
+    members = graph.strong_components(make_edges(*pairs, ("/x", "/y"), ("/y", "/x"), ("/a3", "/x")), **layout)
+    assert members.count() == 42
+    assert len(settled() - before) == 1
+
+
 def test_soft_cycles_need_a_soft_edge_inside(make_edges):
     edges = make_edges(("/a", "/b"), ("/b", "/a", True), ("/x", "/y"), ("/y", "/x"), ("/a", "/x", True))
     rows = graph.soft_cycles(graph.strong_components(edges), edges).collect()

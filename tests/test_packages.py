@@ -4,6 +4,8 @@ import pytest
 from package_writer import Package, i32, text
 from pyspark.sql import functions as F
 
+from stowage import schema
+from stowage.operators import compare, tables
 from stowage.session import settle
 from stowage.sources import inventory, packages
 from stowage.sources.snapshots import SnapshotStore, scan
@@ -221,5 +223,24 @@ def test_scan_publishes_versions_and_rescans_only_changes(spark, project, tmp_pa
     assert now["material_samples"].count() == 0
     assert now["deps"].where(F.col("from_path") == "/Game/A/DT_One").count() == 0
     # The broken file is tried again on every scan.
-    third = scan(store, str(project), f"{project}/Content", rules)
+    third = scan(store, str(project), f"{project}/Content", rules, now=77, save_baseline="release")
     assert "Odd.uasset" in {p.rsplit("/", 1)[1] for (p,) in pairs(third["skipped"], "file_path")}
+    # What the second scan changed, and the records that every version keeps.
+    assert {p for (p,) in pairs(second["added"], "asset_path")} == {"/Game/A/DT_Two"}
+    assert {p for (p,) in pairs(second["deleted"], "asset_path")} == {"/Game/A/DT_One"}
+    history = store.small("scan_history").orderBy("id").collect()
+    assert [r.id for r in history] == [1, 2, 3] and history[2].scanned_at == 77
+    assert history[2].asset_count == store.read()["assets"].count()
+    loaded = tables.load_baseline(store.small("baselines"), store.small("scan_history"), "release").collect()
+    assert [(r.id, r.saved_at) for r in loaded] == [(3, 77)]
+    expected = {"schema_version": schema.SCHEMA_VERSION, "writer_version": "older"}
+    health = compare.catalogue_health(
+        store.read()["assets"], store.small("scan_history"), store.small("properties"), expected, now=77 + 86400
+    )
+    assert {r.check: r.ok for r in health.collect()} == {
+        "assets": True, "schema_version": True, "writer_version": False, "last_scan": True,
+    }
+    # An inventory made elsewhere does instead of a listing; unreadable places are quarantined.
+    listed = spark.createDataFrame([("nostore://x/Content/A/New.uasset", 5, 9)], "file_path string, mtime bigint, length bigint")
+    fourth = scan(store, "nostore://x", "nostore://x/Content", rules, files=listed)
+    assert [p for (p,) in pairs(fourth["skipped"], "file_path")] == ["nostore://x/Content/A/New.uasset"]

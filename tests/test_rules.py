@@ -194,3 +194,26 @@ def test_ingest_delta_ignores_failed_files(spark):
     index = spark.createDataFrame([("a", 1), ("b", 1), ("c", 1), ("z", 1)], "file_path string, last_modified bigint")
     failed = spark.createDataFrame([("c",), ("d",)], "file_path string")
     assert tuple(inventory.ingest_delta(disk, index, failed).first()) == (0, 1, 1, 1, 3)
+
+
+def test_metadata_rules_of_all_kinds(spark):
+    def hits(columns, rows, own):
+        table = spark.createDataFrame(rows, f"asset_path string, {columns}")
+        return sorted((r.asset_path, r.severity, r.rule.rsplit("/", 1)[1]) for r in rules.metadata_lint(table, own).collect())
+
+    skeletal = "lod_count int, bone_count int, triangle_count_lod0 int, has_morph_targets boolean"
+    assert hits(skeletal, [("/a", 1, 257, 20001, True), ("/b", 1, 256, 5000, True), ("/c", None, None, None, None)], rules.SKELETAL_MESH_RULES) == [
+        ("/a", "warn", "excess-bones"), ("/a", "warn", "high-poly-morph"), ("/a", "warn", "no-lod"),
+    ]
+    effects = "emitter_count int, has_gpu_simulation boolean, has_lights boolean"
+    assert hits(effects, [("/a", 11, True, True), ("/b", 10, True, False), ("/c", 1, None, True)], rules.EFFECT_RULES) == [
+        ("/a", "warn", "gpu-sim-with-lights"), ("/a", "warn", "many-emitters"),
+    ]
+    widgets = "widget_depth int, animation_count int"
+    assert hits(widgets, [("/a", 9, 20), ("/b", 8, 21), ("/c", None, None)], rules.WIDGET_RULES) == [
+        ("/a", "warn", "deep-hierarchy"), ("/b", "warn", "many-animations"),
+    ]
+    meshes = "lod_count int, triangle_count_lod0 int, lightmap_resolution int, has_collision boolean, has_nanite boolean"
+    assert hits(meshes, [("/a", 2, 99999, 512, True, True), ("/b", 1, 10001, 513, False, False)], rules.STATIC_MESH_RULES) == [
+        ("/a", "info", "nanite-no-lod"), ("/b", "warn", "high-lightmap-res"), ("/b", "warn", "no-collision"), ("/b", "warn", "no-lod"),
+    ]

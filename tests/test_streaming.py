@@ -1,11 +1,13 @@
+import random
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
 from stowage import schema
+from stowage.operators import graph
 from stowage.sources.snapshots import SnapshotStore
 from stowage.streaming import changes
-from stowage.streaming.watch import Watch, rescan_from
+from stowage.streaming.watch import Watch, problems, rescan_from
 
 START = datetime(2024, 1, 1)
 
@@ -70,6 +72,46 @@ def test_stream_equals_its_batch_twin_and_drops_late_rows(spark, tmp_path):
     assert got == sorted((r.asset_path, r.kind, r.merged) for r in twin.collect())
 
 
+def test_a_window_opens_with_the_first_event(spark):
+    rows = [(1, 100, "/a", "Created"), (2, 350, "/a", "Changed"), (3, 399, "/a", "Deleted"), (4, 400, "/a", "Changed")]
+    rows += [(5, 690, "/a", "Deleted"), (6, 700, "/a", "Created"), (7, 5000, "/a", "Changed"), (8, 120, "/b", "Created")]
+    got = changes.debounce_from_first(events(spark, *rows)).orderBy("asset_path", "window_start").collect()
+    ms = lambda t: round((t - START).total_seconds() * 1000)
+    assert [(r.asset_path, ms(r.window_start), r.kind, r.merged) for r in got] == [
+        ("/a", 100, "Deleted", 3), ("/a", 400, "Deleted", 2), ("/a", 700, "Created", 1), ("/a", 5000, "Changed", 1),
+        ("/b", 120, "Created", 1),
+    ]
+
+
+def test_stream_of_first_opened_windows_equals_its_batch_twin(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(i, rng.randrange(8000), f"/{rng.choice('abc')}", rng.choice(["Created", "Changed", "Deleted"])) for i in range(120)]
+    for n in range(4):  # out of order across files, within the lateness
+        events(spark, *rows[n::4]).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+    for n, ms in ((4, 900_000), (5, 1_800_000)):
+        events(spark, (1000 + n, ms, "/end", "Changed")).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+    stream = (
+        spark.readStream.schema(schema.CHANGE_EVENTS)
+        .option("maxFilesPerTrigger", 1)
+        .option("recursiveFileLookup", "true")
+        .parquet(f"{tmp_path}/in")
+    )
+    query = (
+        changes.stream_debounce_from_first(stream)
+        .writeStream.outputMode("append")
+        .format("parquet")
+        .option("checkpointLocation", f"{tmp_path}/ck")
+        .trigger(availableNow=True)
+        .start(f"{tmp_path}/out")
+    )
+    query.awaitTermination(200)
+    assert query.exception() is None
+    columns = ["asset_path", "window_start", "window_end", "kind", "merged"]
+    got = spark.read.parquet(f"{tmp_path}/out").where("asset_path <> '/end'").select(columns)
+    twin = changes.debounce_from_first(events(spark, *rows)).select(columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, twin.collect()))
+
+
 def catalogue(make_assets, make_edges, assets, edges):
     return {"assets": make_assets(*[(a, "World") for a in assets]), "deps": make_edges(*edges)}
 
@@ -103,9 +145,7 @@ def test_only_new_problems_are_reported_and_replays_change_nothing(spark, make_a
             [("/Game/A", "/Game/C"), ("/Game/C", "/Game/D"), ("/Game/D", "/Game/C")],
         ),
     )
-    watch = Watch(store, rescan_from(truth))
-    first = watch.start()
-    assert first == 1
+    watch, first = Watch(store, rescan_from(truth)), "stream"
 
     # A loses its edge to B and gains one to the new cycle C, D.
     one = batch(spark, (1, 0, "/Game/A", "Changed"), (2, 0, "/Game/C", "Created"), (3, 0, "/Game/D", "Created"))
@@ -136,6 +176,58 @@ def test_only_new_problems_are_reported_and_replays_change_nothing(spark, make_a
     assert reported(watch, 3) == [("new dead asset", "/Game/A"), ("new dead asset", "/Game/E")]
 
 
+def test_watch_survives_a_restart_and_skips_empty_batches(spark, make_assets, make_edges, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path / "store"))
+    store.write(1, catalogue(make_assets, make_edges, ["/Game/A", "/Game/B", "/Game/C"], [("/Game/A", "/Game/B"), ("/Game/B", "/Game/C")]))
+
+    def run(*rows):
+        events(spark, *rows).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema.CHANGE_EVENTS).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        watch = Watch(store, rescan_from(full(spark, {})))
+        query = watch.writer(stream, f"{tmp_path}/ck").trigger(availableNow=True).start()
+        query.awaitTermination(300)
+        assert query.exception() is None
+        return watch
+
+    run((1, 0, "/Game/A", "Deleted"), (2, 900_000, "/Game/Z", "Deleted"))
+    assert [r.asset_path for r in store.read()["assets"].orderBy("asset_path").collect()] == ["/Game/B", "/Game/C"]
+    # The second event only lets the watermark pass, and later deletes of nothing change nothing.
+    assert store.versions() == [1, 2]
+    watch = run((3, 1_000_000, "/Game/B", "Deleted"), (4, 2_000_000, "/Game/Z", "Deleted"))
+    assert store.versions() == [1, 2, 3]
+    assert [r.asset_path for r in store.read()["assets"].collect()] == ["/Game/C"]
+    assert [reported(watch, v) for v in (2, 3)] == [[("new dead asset", "/Game/B")], [("new dead asset", "/Game/C")]]
+
+
+def test_changes_find_what_a_full_comparison_finds(spark, make_assets, make_edges, tmp_path, monkeypatch):
+    monkeypatch.setattr("stowage.streaming.watch.FULL_EVERY", 2)
+    rng = random.Random(6)
+    names = [f"/Game/N{i}" for i in range(9)] + ["/Game/__ExternalActors__/P"]
+    world = lambda: catalogue(
+        make_assets, make_edges, rng.sample(names, 8), list({(rng.choice(names), rng.choice(names)) for _ in range(14)})
+    )
+    start = world()
+    start["deps"] = start["deps"].join(start["assets"].select(F.col("asset_path").alias("from_path")), "from_path", "left_semi")
+    store = SnapshotStore(spark, str(tmp_path / "store"))
+    store.write(1, start)
+    for n in range(4):
+        truth = full(spark, world())
+        known = {r.asset_path for r in truth["assets"].collect()}
+        picked = rng.sample(names, 4)
+        rows = [(i, 0, p, "Changed" if p in known else "Deleted") for i, p in enumerate(picked)]
+        before, versions = problems(store.read()), store.versions()
+        watch = Watch(store, rescan_from(truth))
+        watch.process(batch(spark, *rows), n, "s")
+        if store.versions() == versions:
+            continue
+        after = problems(store.read())
+        dead = after["dead"].join(before["dead"], "asset_path", "left_anti")
+        want = [("new dead asset", r.asset_path) for r in dead.collect()]
+        want += [("new cycle", r.component) for r in graph.new_cycles(before["cycles"], after["cycles"]).collect()]
+        assert reported(watch, store.versions()[-1]) == sorted(want)
+    assert len(store.chain(store.versions()[-1])) <= 2
+
+
 def test_watch_runs_as_a_stream(spark, make_assets, make_edges, tmp_path):
     store = SnapshotStore(spark, str(tmp_path / "store"))
     store.write(1, catalogue(make_assets, make_edges, ["/Game/A", "/Game/B"], [("/Game/A", "/Game/B")]))
