@@ -649,7 +649,7 @@ QUERIES = {
             SELECT o.asset_path, (SELECT min(e.ts) FROM pkg_events e
                                   WHERE e.asset_path = o.asset_path AND e.ts >= o.opened + INTERVAL 2 HOUR)
             FROM openings o WHERE o.opened IS NOT NULL), |
-        SELECT epoch_ms(o.opened) AS window_start_ms, o.asset_path, arg_max(e.kind, (e.ts, e.event_id)) AS kind, count(*) AS merged
+        SELECT epoch_us(o.opened) // 1000 AS window_start_ms, o.asset_path, arg_max(e.kind, (e.ts, e.event_id)) AS kind, count(*) AS merged
         FROM openings o JOIN pkg_events e
           ON e.asset_path = o.asset_path AND e.ts >= o.opened AND e.ts < o.opened + INTERVAL 2 HOUR
         GROUP BY o.asset_path, o.opened""",
