@@ -29,15 +29,20 @@ FIRST_DAY, DAYS = "1900-01-01", 73_049  # to 2099-12-31
 DATE = (
     r"(?<![\d./-])(?:(?:19|20)\d\d-\d\d-\d\d|\d\d\.\d\d\.(?:19|20)\d\d|\d\d/\d\d/(?:19|20)\d\d)(?![\d/-]|\.\d)"
 )
+# What stands before a secret, and what an access key begins with.
+SECRET_NAMES = "password|passwd|api_key|secret|token"
 KINDS = {
     "mail": r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9])?@[A-Za-z0-9](?:[A-Za-z0-9.-]{0,250}[A-Za-z0-9])?\.[A-Za-z]{2,}",
-    "secret": r"(?<=(?:password|passwd|api_key|secret|token)\s?[=:]\s?\"?)[A-Za-z0-9_-]{8,128}|(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
+    "secret": rf"(?<=(?:{SECRET_NAMES})\s?[=:]\s?\"?)[A-Za-z0-9_-]{{8,}}|(?<![A-Za-z0-9])AKIA[A-Z0-9]{{16}}(?![A-Za-z0-9])",
     "date": DATE,
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "address": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)",
     "phone": r"\+\d{1,3}[ -]?(?:\(\d{1,4}\)[ -]?)?\d{2,4}(?:[ -]?\d{2,4}){1,3}(?![\d])|(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)",
     "card": r"(?<![\d.+-])\d(?:[ -]?\d){12,18}(?![\d-])",
 }
+# No text without a match of this holds any of the kinds: all others need a digit or an @.
+MARK = f"[0-9@]|{SECRET_NAMES}|AKIA"
+PIECE = 128  # letters of a secret that are permuted together
 # Letters of a name or secret that are permuted among themselves.
 CLASSES = {"0-9": "0123456789", "a-z": "abcdefghijklmnopqrstuvwxyz", "A-Z": "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
 # All kinds, tried in this order. Group 1 is the match, group 2 is filled where it is a secret:
@@ -53,7 +58,7 @@ def _digits(value: Column) -> Column:
     return F.transform(F.split(F.regexp_replace(value, r"\D", ""), ""), lambda d: d.cast("int"))
 
 
-def permute(values: Column, radix: int, key: str, kind: str) -> Column:
+def permute(values: Column, radix: int, key: str, kind: str | Column) -> Column:
     """A keyed permutation of int arrays of equal length with entries below `radix` (64 at most per half)."""
 
     def mask(round_: Column, half: Column, i: Column) -> Column:
@@ -167,7 +172,7 @@ def _date(value: Column, key: str) -> Column:
     return result
 
 
-def _letters(value: Column, pattern: str, letters: str, key: str, kind: str) -> Column:
+def _letters(value: Column, pattern: str, letters: str, key: str, kind: str | Column) -> Column:
     """`value` with the characters of one class permuted among themselves."""
     own = F.regexp_replace(value, f"[^{pattern}]", "")
     spots = F.transform(F.split(own, ""), lambda c: F.instr(F.lit(letters), c) - 1)
@@ -175,17 +180,30 @@ def _letters(value: Column, pattern: str, letters: str, key: str, kind: str) ->
     return F.when(own == "", value).otherwise(_let(fresh, lambda f: _refill(value, pattern, f)))
 
 
-def _once(value: Column, pattern: str, letters: str, key: str, kind: str) -> Column:
+def _once(value: Column, pattern: str, letters: str, key: str, kind: str | Column) -> Column:
     return _let(value, lambda v: _letters(v, pattern, letters, key, kind))
 
 
-def _name(value: Column, key: str, kind: str) -> Column:
+def _name(value: Column, key: str, kind: str | Column) -> Column:
     """Digits among digits, small letters among small letters, capitals among capitals."""
     for pattern, letters in CLASSES.items():
         value = _once(value, pattern, letters, key, kind)
     return value
 
 
+def _secret(value: Column, key: str) -> Column:
+    """Long secrets go in pieces of like length, each with a permutation of its own place."""
+
+    def pieces(length: Column) -> Column:
+        size = F.ceil(length / F.ceil(length / PIECE)).cast("string")
+        return F.regexp_extract_all(value, F.concat(F.lit(".{1,"), size, F.lit("}")), F.lit(0))
+
+    def renamed(piece: Column, i: Column) -> Column:
+        return _name(piece, key, F.concat(F.lit("secret"), F.when(i > 0, i.cast("string")).otherwise("")))
+
+    return F.array_join(F.transform(_let(F.length(value), pieces), renamed), "")
+
+
 def _mail(value: Column, key: str) -> Column:
     return F.concat(_name(F.substring_index(value, "@", 1), key, "mail"), F.lit("@"), F.substring_index(value, "@", -1))
 
@@ -207,7 +225,7 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
         .when(kind == "address", _address(value, key))
         .when(kind == "phone", _phone(value, key))
         .when(kind == "card", _card(value, key))
-        .otherwise(_name(value, key, "secret"))
+        .otherwise(_secret(value, key))
     )
 
 
@@ -226,9 +244,9 @@ def pseudonymise(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
         secrets = F.regexp_extract_all(text, F.lit(ANY), F.lit(2))
         return F.when(F.size(matches) > 0, F.zip_with(matches, secrets, judged))
 
-    # Most texts hold nothing of the kind: the one cheap look spares them the long pattern.
+    # The one cheap look spares texts that cannot hold any kind the long pattern.
     matches = F.regexp_extract_all(text, F.lit(ANY), F.lit(1))
-    marked = docs.withColumn("__new", F.when(text.rlike("[0-9@]"), _let(matches, all_judged)))
+    marked = docs.withColumn("__new", F.when(text.rlike(MARK), _let(matches, all_judged)))
     between = F.split(text, ANY)
     joined = F.array_join(
         F.transform(between, lambda piece, i: F.concat(piece, F.coalesce(F.get(F.col("__new"), i)["new"], F.lit("")))), ""
