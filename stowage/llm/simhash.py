@@ -135,13 +135,14 @@ def near_pairs(nodes: DataFrame, dense: int = DENSE) -> DataFrame:
 
 
 def near_duplicates(fingerprinted: DataFrame, dense: int = DENSE) -> DataFrame:
-    """Add `component_id`, the smallest doc_id reachable over links, to rows (doc_id, fp, …)."""
+    """Add `component_id`, the smallest doc_id reachable over links, and `root_fp`, the component's
+    smallest fingerprint, to rows (doc_id, fp, …)."""
     nodes, _ = settle(fingerprinted.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
     links, _ = settle(near_pairs(nodes.select("fp"), dense))
     roots = components(links, "a", "b").withColumnRenamed("node", "fp")
     rooted, _ = settle(nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    classes, _ = settle(rooted.join(least, "root").select("fp", "component_id"))
+    classes, _ = settle(rooted.join(least, "root").select("fp", "component_id", F.col("root").alias("root_fp")))
     return fingerprinted.join(classes, "fp")
 
 
@@ -151,9 +152,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     rows, _ = settle(with_fingerprints(hashed))
     # Rows without an id come after all others.
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
-    chosen = near_duplicates(rows).groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp"))).agg(
-        F.min(order).alias("one")
-    )
+    chosen = near_duplicates(rows).groupBy("root_fp").agg(F.min(order).alias("one"))
     stays = chosen.select(F.col("one.doc_id").alias("__id"), F.col("one.th").alias("__th")).hint("merge")
     keyed = docs.withColumn("__hash", F.xxhash64(whole()))
     match = keyed["doc_id"].eqNullSafe(stays["__id"]) & (keyed["__hash"] == stays["__th"])

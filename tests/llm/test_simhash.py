@@ -102,3 +102,14 @@ def test_one_document_of_each_group_stays(spark):
 def test_empty_table(spark):
     assert near_copies(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []
     assert simhash.one_of_each(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []
+
+
+def test_near_copies_without_ids_leave_one(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(400)]
+    first = " ".join(words)
+    copies = (" ".join(words[:k] + ["changed"] + words[k + 1 :]) for k in range(400))
+    near = next(t for t in copies if 1 <= (plain_fingerprint(t) ^ plain_fingerprint(first)).bit_count() <= 3)
+    df = spark.createDataFrame([(None, first), (None, near), (None, "another text")], "doc_id bigint, text string")
+    left = [r.text for r in simhash.one_of_each(df).collect()]
+    assert len(left) == 2 and "another text" in left
