@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stowage.llm import bpe, exact_dedup, fingerprints, fuzzy_lines, mixing, pseudonyms, quality, simhash, toxicity, warc
+from stowage.llm import bpe, conversations, exact_dedup, fingerprints, fuzzy_lines, mixing, pseudonyms, quality, simhash, toxicity, warc
 from stowage.llm.common import read, whole
 from stowage.session import settle
 
@@ -186,6 +186,23 @@ def op6_fuzzy_lines(spark: SparkSession, folder: str) -> DataFrame:
     return deduplicated_lines(read(spark, folder, "documents"))
 
 
+def repaired(rows: DataFrame) -> DataFrame:
+    """Every conversation's repair after the damage; none is left out that lost all its rows."""
+    found = conversations.digests(conversations.edits(conversations.damaged(rows)))
+    everyone = rows.select(F.col("conv_id").alias("_conv_id")).distinct()
+    number = lambda name: F.coalesce(name, F.lit(0).cast("bigint")).alias(name)
+    return everyone.join(found.hint("merge"), F.col("conv_id").eqNullSafe(F.col("_conv_id")), "left").select(
+        F.col("_conv_id").alias("conv_id"),
+        *(number(name) for name in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")),
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
+def op11_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    return repaired(read(spark, folder, "conversations"))
+
+
 QUERIES = {
     "op1_merkle_fingerprints": op1_merkle_fingerprints,
     "op2_exact_dedup": op2_exact_dedup,
@@ -197,6 +214,7 @@ QUERIES = {
     "op8_pseudonyms": op8_pseudonyms,
     "op9_warc": op9_warc,
     "op10_toxicity": op10_toxicity,
+    "op11_conversations": op11_conversations,
 }
 
 ORACLE_SQL = {
@@ -241,6 +259,78 @@ ORACLE_SQL = {
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+    "op11_conversations": r"""
+        WITH RECURSIVE keyed AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':'
+                       || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ascii(x) AS BIGINT)) AS codes
+            FROM conversations),
+        fated AS (  -- the checksum, bit by bit
+            SELECT *, xor(list_reduce(codes, lambda crc, code: list_reduce(list_prepend(xor(crc, code),
+                       CAST(range(8) AS BIGINT[])), lambda x, i: xor(x >> 1, (x & 1) * 3988292384)), 4294967295),
+                       4294967295) % 20 AS fate
+            FROM keyed),
+        hurt AS (
+            SELECT conv_id, turn, CASE fate WHEN 4 THEN 'user' ELSE role END AS role,
+                   CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                   unnest(CASE fate WHEN 3 THEN [0, 1] ELSE [0] END) AS copy
+            FROM fated WHERE fate <> 0),
+        ordered AS (
+            SELECT *, row_number() OVER same AS n, row_number() OVER (PARTITION BY conv_id, role, text
+                       ORDER BY turn NULLS FIRST) AS seen,
+                   lag(role[1]) OVER same AS before
+            FROM hurt WINDOW same AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+        judged AS (
+            SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank' WHEN seen > 1 THEN 'duplicate'
+                       WHEN NOT regexp_matches(text, '[.!?][ 	-]*\z') THEN 'truncated' END AS fault,
+                   before || role[1] NOT IN ('su', 'ua', 'au') AS odd
+            FROM ordered),
+        priced AS (
+            SELECT *, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS stays,
+                   coalesce(fault IN ('blank', 'duplicate'), false) AS must_go
+            FROM judged),
+        walk AS (  -- cheapest and ASCII-least edits to each state: (cost, initials, what stays)
+            SELECT conv_id, CAST(0 AS BIGINT) AS n, {'c': 0, 'a': '', 't': ''} AS z, {'c': 1000000, 'a': '', 't': ''} AS s,
+                   {'c': 1000000, 'a': '', 't': ''} AS u, {'c': 1000000, 'a': '', 't': ''} AS a
+            FROM (SELECT DISTINCT conv_id FROM conversations)
+            UNION ALL
+            SELECT conv_id, n,
+                   {'c': z.c + 4, 'a': z.a || 'D', 't': z.t},
+                   list_sort([{'c': s.c + 4, 'a': s.a || 'D', 't': s.t}]
+                       || CASE WHEN NOT must_go AND role[1] = 's' THEN
+                          [{'c': z.c + stays, 'a': z.a || 'K', 't': z.t || chr(10) || line}] ELSE [] END)[1],
+                   list_sort([{'c': iu.c + 4, 'a': iu.a || 'D', 't': iu.t}]
+                       || CASE WHEN must_go THEN [] ELSE list_transform([z, s, ia], lambda x:
+                          {'c': x.c + 3 + stays, 'a': x.a || 'R', 't': x.t || chr(10) || 'user:' || text}) END
+                       || CASE WHEN NOT must_go AND role[1] = 'u' THEN list_transform([z, s, ia], lambda x:
+                          {'c': x.c + stays, 'a': x.a || 'K', 't': x.t || chr(10) || line}) ELSE [] END)[1],
+                   list_sort([{'c': ia.c + 4, 'a': ia.a || 'D', 't': ia.t}]
+                       || CASE WHEN must_go THEN [] ELSE
+                          [{'c': iu.c + 3 + stays, 'a': iu.a || 'R', 't': iu.t || chr(10) || 'assistant:' || text}] END
+                       || CASE WHEN NOT must_go AND role[1] = 'a' THEN
+                          [{'c': iu.c + stays, 'a': iu.a || 'K', 't': iu.t || chr(10) || line}] ELSE [] END)[1]
+            FROM (
+                SELECT *, list_sort([a, {'c': iu.c + 3, 'a': iu.a || 'I', 't': iu.t || chr(10) || 'assistant:'}])[1] AS ia
+                FROM (
+                    SELECT w.conv_id, p.n, p.role, p.text, p.role || ':' || p.text AS line, p.must_go, p.stays, z, s, u, a,
+                           list_sort([u] || list_transform([z, s, a], lambda x:
+                               {'c': x.c + 3, 'a': x.a || 'I', 't': x.t || chr(10) || 'user:'}))[1] AS iu
+                    FROM walk w JOIN priced p ON w.conv_id IS NOT DISTINCT FROM p.conv_id AND p.n = w.n + 1))),
+        ends AS (
+            SELECT conv_id, n, list_sort([z, a, {'c': iu.c + 3, 'a': iu.a || 'I', 't': iu.t || chr(10) || 'assistant:'}])[1] AS best
+            FROM (
+                SELECT *, list_sort([u] || list_transform([z, s], lambda x:
+                    {'c': x.c + 3, 'a': x.a || 'I', 't': x.t || chr(10) || 'user:'}))[1] AS iu
+                FROM (SELECT *, n = max(n) OVER (PARTITION BY conv_id) AS last FROM walk) WHERE last)),
+        counted AS (
+            SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+                   count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+                   count(*) FILTER (odd) AS illegal
+            FROM judged GROUP BY conv_id)
+        SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+               coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(best.c AS BIGINT) AS cost,
+               best.a AS audit, sha256(best.t[2:]) AS repaired_sha256
+        FROM ends e LEFT JOIN counted c ON e.conv_id IS NOT DISTINCT FROM c.conv_id""",
     "op9_warc": """
         WITH hashed AS (
             SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS sha FROM pages),

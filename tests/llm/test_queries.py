@@ -9,7 +9,7 @@ import __spark_entry__ as entry_points
 from stowage.llm.queries import ORACLE_SQL, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
-TABLES = ["documents", "pages", "labels"]
+TABLES = ["documents", "pages", "labels", "conversations", "embeddings"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="needs the driver's tables")
 
