@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stowage.llm import bpe, conversations, exact_dedup, fingerprints, fuzzy_lines, mixing, pseudonyms, quality, simhash, toxicity, warc
+from stowage.llm import bpe, conversations, exact_dedup, fingerprints, fuzzy_lines, mixing, permutation_index, pseudonyms, quality, simhash, toxicity, warc
 from stowage.llm.common import read, whole
 from stowage.session import settle
 
@@ -203,6 +203,10 @@ def op11_conversations(spark: SparkSession, folder: str) -> DataFrame:
     return repaired(read(spark, folder, "conversations"))
 
 
+def op12_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    return permutation_index.nearest(read(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES = {
     "op1_merkle_fingerprints": op1_merkle_fingerprints,
     "op2_exact_dedup": op2_exact_dedup,
@@ -215,6 +219,7 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_toxicity": op10_toxicity,
     "op11_conversations": op11_conversations,
+    "op12_nearest": op12_nearest,
 }
 
 ORACLE_SQL = {
@@ -281,8 +286,10 @@ ORACLE_SQL = {
                    lag(role[1]) OVER same AS before
             FROM hurt WINDOW same AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
         judged AS (
-            SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank' WHEN seen > 1 THEN 'duplicate'
-                       WHEN NOT regexp_matches(text, '[.!?][ 	-]*\z') THEN 'truncated' END AS fault,
+            SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'blank' WHEN seen > 1 THEN 'duplicate'
+                       WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*\z') THEN 'truncated' END AS fault,
                    before || role[1] NOT IN ('su', 'ua', 'au') AS odd
             FROM ordered),
         priced AS (
