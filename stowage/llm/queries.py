@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stowage.llm import bpe, conversations, exact_dedup, fingerprints, fuzzy_lines, mixing, permutation_index, pseudonyms, quality, simhash, toxicity, warc
+from stowage.llm import alignment, bpe, conversations, exact_dedup, fingerprints, fuzzy_lines, mixing, permutation_index, pseudonyms, quality, simhash, toxicity, warc
 from stowage.llm.common import read, whole
 from stowage.session import settle
 
@@ -207,6 +207,17 @@ def op12_nearest(spark: SparkSession, folder: str) -> DataFrame:
     return permutation_index.nearest(read(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def linked(documents: DataFrame, files: alignment.Tokenizers) -> DataFrame:
+    names = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+    found = alignment.align(documents.select("doc_id", "text"), files).documents
+    return found.select("doc_id", *(F.col(f"__{name}").alias(name) for name in names))
+
+
+def op13_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    files = alignment.load(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return linked(read(spark, folder, "documents"), files)
+
+
 QUERIES = {
     "op1_merkle_fingerprints": op1_merkle_fingerprints,
     "op2_exact_dedup": op2_exact_dedup,
@@ -220,6 +231,7 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
     "op11_conversations": op11_conversations,
     "op12_nearest": op12_nearest,
+    "op13_alignment": op13_alignment,
 }
 
 ORACLE_SQL = {
