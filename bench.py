@@ -31,6 +31,10 @@ TABLES = [
     "edges",
     "nodes",
     "members",
+    "named",
+    "links",
+    "dag",
+    "ids",
 ]
 HEADLINE = [
     "dead_assets",

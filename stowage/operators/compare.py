@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stowage.operators.reachability import Index
 from stowage.operators import graph, rules, stats
 
 # Fixed value: growth in percent from which an asset is listed.
@@ -229,9 +230,11 @@ def catalogue_health(
 # ---------------------------------------------------------------- reports over one state
 
 
-def rename_impact(edges: DataFrame, assets: DataFrame, renames: DataFrame) -> DataFrame:
+def rename_impact(
+    edges: DataFrame, assets: DataFrame, renames: DataFrame, index: Index | None = None
+) -> DataFrame:
     """Per (source, destination): referrers to re-save, further dependants, name clash."""
-    counts = graph.impact_counts(edges, renames.select(F.col("source").alias("asset_path")))
+    counts = graph.impact_counts(edges, renames.select(F.col("source").alias("asset_path")), index)
     taken = assets.select(F.col("asset_path").alias("destination"), F.lit(True).alias("taken"))
     return (
         renames.join(counts.withColumnRenamed("asset_path", "source"), "source")

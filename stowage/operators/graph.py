@@ -13,7 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stowage.functions import paths, skew
-from stowage.session import discard, settle, settle_observed, settle_partitioned
+from stowage.operators import reachability
+from stowage.operators.reachability import Index
+from stowage.operators.walks import CHAIN_SEPARATOR, COMPACT_EVERY, Adjacency, reach, reach_any
+from stowage.session import discard, settle, settle_observed
 
 # Reference roots that are not part of a project.
 EXTERNAL_ROOTS = ("/Engine/", "/Script/")
@@ -28,9 +31,6 @@ ENGINE_SUBOBJECT_TYPES = (
     "AnimCurveMetaData",
     "BodySetup",
 )
-CHAIN_SEPARATOR = " > "
-# Rounds after which the pieces of the visited set are rewritten as one.
-COMPACT_EVERY = 16
 
 
 # ---------------------------------------------------------------- building
@@ -116,194 +116,55 @@ def redirectors(nodes: DataFrame) -> DataFrame:
     return nodes.where(F.col("asset_type") == "ObjectRedirector")
 
 
-# ---------------------------------------------------------------- walking
+# ---------------------------------------------------------------- reach
 
 
-class Adjacency:
-    """Edge table laid out for repeated "go one step from these vertices" joins.
-
-    `edges` is read once per step, so it should be a stored or settled table.
-    """
-
-    def __init__(
-        self,
-        edges: DataFrame,
-        at: str,
-        to: str,
-        broadcast_rows: int = skew.BROADCAST_ROWS,
-        hot_rows: int = skew.HOT_ROWS,
-    ):
-        self.edges = edges.select(F.col(at).alias("vertex"), F.col(to).alias("next"))
-        self.broadcast_rows = broadcast_rows
-        self.hot_rows = hot_rows
-        self._split: tuple[DataFrame, DataFrame] | None = None
-
-    def step(self, frontier: DataFrame, rows: int) -> DataFrame:
-        """Join `frontier` on its `vertex` column; `vertex` becomes the vertex stepped to."""
-        if rows <= self.broadcast_rows:
-            joined = self.edges.join(F.broadcast(frontier), "vertex")
-        else:
-            edges, hot = self._split_layout()
-            joined = edges.join(skew.repeat(frontier, hot, "vertex"), ["vertex", skew.PART]).drop(skew.PART)
-        return joined.drop("vertex").withColumnRenamed("next", "vertex")
-
-    def _split_layout(self) -> tuple[DataFrame, DataFrame]:
-        """Edges shuffled once by (vertex, part); hub vertices own several parts."""
-        if self._split is None:
-            counts = self.edges.groupBy("vertex").agg(F.count(F.lit(1)).alias("size"))
-            hot, _ = settle(skew.hot_keys(counts, "vertex", "size", self.hot_rows))
-            spread = skew.spread(self.edges, hot, "vertex", F.col("next"))
-            self._split = settle_partitioned(spread, "vertex", skew.PART), hot
-        return self._split
-
-    def close(self) -> None:
-        """Delete what the layout has stored; the edges themselves are the caller's."""
-        if self._split is not None:
-            discard(self._split[1])
-            self._split = None
-
-
-def reach(
-    adjacency: Adjacency, roots: DataFrame, chains: bool = False, max_depth: int | None = None
-) -> DataFrame:
-    """Breadth-first walk from every row of `roots` (column `root`) at once.
-
-    Returns (root, vertex, depth >= 1[, chain]); a root is never in its own result. With
-    `chains`, `chain` is the smallest text among the shortest paths.
-    """
-    limit = adjacency.broadcast_rows
-    start = roots.select("root", F.col("root").alias("vertex"))
-    if chains:
-        start = start.withColumn("chain", F.col("root"))
-    frontier, rows = settle(start.distinct())
-    seen, seen_rows, pieces = frontier.select("root", "vertex"), rows, 1
-    depth, levels = 0, []
-    while rows and depth != max_depth:
-        depth += 1
-        # Chains grow with every hop, so the bound on what is broadcast shrinks alike.
-        stepped = adjacency.step(frontier, rows * depth if chains else rows)
-        if seen_rows <= limit:
-            # Drop known pairs before the shuffle of the grouping.
-            stepped = stepped.join(F.broadcast(seen), ["root", "vertex"], "left_anti")
-        if chains:
-            stepped = stepped.withColumn("chain", F.concat("chain", F.lit(CHAIN_SEPARATOR), "vertex"))
-            stepped = stepped.groupBy("root", "vertex").agg(F.min("chain").alias("chain"))
-        else:
-            stepped = stepped.select("root", "vertex").distinct()
-        if seen_rows > limit:
-            # Grouping and anti join share one shuffle on (root, vertex).
-            stepped = stepped.join(seen, ["root", "vertex"], "left_anti")
-        frontier, rows = settle(stepped)
-        if rows:
-            levels.append(frontier.withColumn("depth", F.lit(depth)))
-            seen, seen_rows, pieces = seen.union(frontier.select("root", "vertex")), seen_rows + rows, pieces + 1
-            if pieces >= COMPACT_EVERY:
-                seen, pieces = settle(seen)[0], 1  # the levels themselves stay: they are the result
-    if not levels:
-        return frontier.withColumn("depth", F.lit(0)).limit(0)
-    found = levels[0]
-    for level in levels[1:]:
-        found = found.unionByName(level)
-    return found
-
-
-def reach_any(adjacency: Adjacency, starts: DataFrame) -> DataFrame:
-    """(vertex) met by walking from all of `starts` (column `vertex`) as one set, each vertex once.
-
-    A start is in the result only if a step leads to it.
-    """
-    frontier, rows = settle(starts.select("vertex").distinct())
-    expanded, met = frontier, frontier.limit(0)
-    pieces = 1
-    while rows:
-        stepped, count = settle(adjacency.step(frontier, rows).select("vertex").distinct())
-        if not count:
-            break
-        met = met.union(stepped)
-        frontier, rows = settle(stepped.join(expanded, "vertex", "left_anti"))
-        expanded, pieces = expanded.union(frontier), pieces + 1
-        if pieces >= COMPACT_EVERY:
-            expanded, met, pieces = settle(expanded)[0], settle(met.distinct())[0], 1
-    return met.distinct()
-
-
-def referrers_of_any(edges: DataFrame, targets: DataFrame, **layout) -> DataFrame:
+def referrers_of_any(edges: DataFrame, targets: DataFrame, index: Index | None = None, **layout) -> DataFrame:
     """(asset_path) of everything that reaches a target other than itself, in one walk."""
-    wanted = targets.select(F.col("asset_path").alias("vertex")).distinct()
-    met, _ = settle(reach_any(Adjacency(edges, at="to_path", to="from_path", **layout), wanted))
-    others = met.join(wanted, "vertex", "left_anti")
-    # A target that is met may only have been met by its own cycle: look where it leads.
-    again, rows = settle(met.join(wanted, "vertex", "left_semi"))
-    if rows:
-        onward = reach(
-            Adjacency(edges, at="from_path", to="to_path", **layout), again.select(F.col("vertex").alias("root"))
-        )
-        others = others.union(onward.join(wanted, "vertex", "left_semi").select("root").distinct())
-    return others.select(F.col("vertex").alias("asset_path"))
+    index = index or reachability.build(edges, members=strong_components(edges, **layout))
+    return reachability.referrers_of_any(index, targets, **layout)
 
 
-def impact(edges: DataFrame, targets: DataFrame, **layout) -> DataFrame:
+def impact(edges: DataFrame, targets: DataFrame, index: Index | None = None, **layout) -> DataFrame:
     """Who is affected by each target: (target, asset_path, depth, kind)."""
-    adjacency = Adjacency(edges, at="to_path", to="from_path", **layout)
-    found = reach(adjacency, targets.select(F.col("asset_path").alias("root")))
-    return found.select(
-        F.col("root").alias("target"),
-        F.col("vertex").alias("asset_path"),
-        "depth",
-        F.when(F.col("depth") == 1, "direct").otherwise("transitive").alias("kind"),
-    )
+    index = index or reachability.build(edges)
+    found = reachability.levels(index, targets, reverse=True, **layout).withColumnRenamed("asset_path", "target")
+    kind = F.when(F.col("depth") == 1, "direct").otherwise("transitive").alias("kind")
+    return found.join(index.ids.select("vertex", "asset_path"), "vertex").select("target", "asset_path", "depth", kind)
 
 
-def impact_counts(edges: DataFrame, targets: DataFrame, **layout) -> DataFrame:
-    found = impact(edges, targets, **layout)
-    counts = found.groupBy(F.col("target").alias("asset_path")).agg(
-        F.count_if(F.col("depth") == 1).alias("direct_count"),
-        F.count_if(F.col("depth") > 1).alias("transitive_count"),
-    )
-    return (
-        targets.select("asset_path")
-        .distinct()
-        .join(counts, "asset_path", "left")
-        .fillna(0, ["direct_count", "transitive_count"])
-    )
+def impact_counts(edges: DataFrame, targets: DataFrame, index: Index | None = None, **layout) -> DataFrame:
+    """Per target: how many assets refer to it directly and through others, itself left out."""
+    index = index or reachability.build(edges)
+    return reachability.counts(index, targets, reverse=True, **layout).drop("total_bytes")
 
 
-def closure_stats(edges: DataFrame, nodes: DataFrame, roots: DataFrame, **layout) -> DataFrame:
+def closure_stats(edges: DataFrame, nodes: DataFrame, roots: DataFrame, index: Index | None = None, **layout) -> DataFrame:
     """Per root: direct and transitive dependency counts, and bytes including the root."""
-    adjacency = Adjacency(edges, at="from_path", to="to_path", **layout)
-    start = roots.select(F.col("asset_path").alias("root")).distinct()
-    found = reach(adjacency, start)
-    own = start.select("root", F.col("root").alias("vertex"), F.lit(0).alias("depth"))
-    pairs = found.unionByName(own)
-    # Every root reaches the same hubs: their pairs are split.
-    reached = pairs.groupBy("vertex").agg(F.count(F.lit(1)).alias("size"))
-    sizes = reached.join(nodes.select(F.col("asset_path").alias("vertex"), "file_size"), "vertex", "left")
-    hot_rows = layout.get("hot_rows", skew.HOT_ROWS)
-    return (
-        skew.join_sized(pairs, sizes, "vertex", "size", F.col("root"), hot_rows)
-        .groupBy(F.col("root").alias("asset_path"))
-        .agg(
-            F.count_if(F.col("depth") == 1).alias("direct_count"),
-            F.count_if(F.col("depth") > 1).alias("transitive_count"),
-            F.coalesce(F.sum("file_size"), F.lit(0)).alias("total_bytes"),
-        )
-    )
+    index = index or reachability.build(edges, nodes)
+    return reachability.counts(index, roots, **layout)
 
 
-def shortest_chains(edges: DataFrame, pairs: DataFrame, **layout) -> DataFrame:
+def shortest_chains(edges: DataFrame, pairs: DataFrame, index: Index | None = None, **layout) -> DataFrame:
     """Fewest-hop referrer chain from `source` to `target`; pairs without one are absent."""
-    found = shortest_chains_to(edges, pairs.select("source"), pairs.select(F.col("target").alias("asset_path")), **layout)
-    return found.join(pairs.select("source", "target").distinct(), ["source", "target"], "left_semi")
+    index = index or reachability.build(edges)
+    numbered = (
+        pairs.select("source", "target")
+        .distinct()
+        .join(index.ids.select(F.col("asset_path").alias("source"), F.col("vertex").alias("root")), "source")
+        .join(index.ids.select(F.col("asset_path").alias("target"), F.col("vertex").alias("goal")), "target")
+    )
+    numbered, _ = settle(numbered.select("root", "goal"))
+    sources, goals = (numbered.select(F.col(c).alias("vertex")) for c in ("root", "goal"))
+    return reachability.shortest(index, sources, goals, numbered, **layout)
 
 
-def shortest_chains_to(edges: DataFrame, sources: DataFrame, goals: DataFrame, **layout) -> DataFrame:
+def shortest_chains_to(edges: DataFrame, sources: DataFrame, goals: DataFrame, index: Index | None = None, **layout) -> DataFrame:
     """Chains from every source to every goal (`asset_path`) that it is reached from."""
-    adjacency = Adjacency(edges, at="to_path", to="from_path", **layout)
-    found = reach(adjacency, sources.select(F.col("source").alias("root")), chains=True)
-    wanted = goals.select(F.col("asset_path").alias("vertex")).distinct()
-    return found.join(wanted, "vertex", "left_semi").select(
-        F.col("root").alias("source"), F.col("vertex").alias("target"), F.col("depth").alias("hops"), "chain"
-    )
+    index = index or reachability.build(edges)
+    numbered = lambda paths: index.ids.join(paths.distinct(), "asset_path", "left_semi")
+    starts = numbered(sources.select(F.col("source").alias("asset_path")))
+    return reachability.shortest(index, starts, numbered(goals.select("asset_path")), **layout)
 
 
 def reference_tree(

@@ -3,7 +3,7 @@
 Questions run on an ingested catalogue, not on raw inputs: a table is derived once, written
 to the shared folder, and read back from there. Plans stay small, filters reach the Parquet
 scan, and Spark knows the real table sizes. That includes the analysed graph: internal edges,
-vertices with their degrees, and the members of all cycles.
+vertices with their degrees, the members of all cycles, and the graph in numbers.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stowage.operators import graph
+from stowage.operators import graph, reachability
 from stowage.plans import derived
 from stowage.session import configure, working_folder
 from stowage.sources import results
@@ -24,6 +24,11 @@ GRAPH = {
     "nodes": lambda cat: graph.degrees(graph.vertices(cat.assets, cat.edges), cat.edges),
     # Members of all cycles, those with per-actor files included.
     "members": lambda cat: graph.strong_components(cat.edges),
+    # The graph in numbers, vertex by vertex and component by component.
+    "named": lambda cat: reachability.number(cat.nodes, cat.members),
+    "links": lambda cat: reachability.number_links(cat.edges, cat.named),
+    "dag": lambda cat: reachability.condense(cat.links, cat.named),
+    "ids": lambda cat: reachability.mark(cat.named, cat.links, cat.dag),
 }
 
 
@@ -53,6 +58,10 @@ class Catalogue:
             self._tables[view] = self._open(view)
         return self._tables[view]
 
+    @property
+    def index(self) -> reachability.Index:
+        return reachability.Index(self.ids, self.links, self.dag)
+
     def saved_violations(self, name: str, found: DataFrame) -> tuple[DataFrame, DataFrame]:
         """A state's violations, saved on first use and then read from the store."""
         folder = f"{self._store}/baselines/{name}"

@@ -208,7 +208,7 @@ def find_unreferenced(cat):
 
 @query
 def find_refs(cat):
-    return find.among(cat.assets, graph.referrers_of_any(cat.edges, of_type(cat, "World")))
+    return find.among(cat.assets, graph.referrers_of_any(cat.edges, of_type(cat, "World"), cat.index))
 
 
 @query
@@ -424,17 +424,17 @@ def soft_cycles(cat):
 
 @query
 def impact(cat):
-    return graph.impact(cat.edges, of_type(cat, "World"))
+    return graph.impact(cat.edges, of_type(cat, "World"), cat.index)
 
 
 @query
 def impact_counts(cat):
-    return graph.impact_counts(cat.edges, of_type(cat, "World", "DataTable", "Material", "Texture2D"))
+    return graph.impact_counts(cat.edges, of_type(cat, "World", "DataTable", "Material", "Texture2D"), cat.index)
 
 
 @query
 def deps_closure(cat):
-    return graph.closure_stats(cat.edges, cat.nodes, of_type(cat, "DataAsset", "Blueprint", "MaterialInstance"))
+    return graph.closure_stats(cat.edges, cat.nodes, of_type(cat, "DataAsset", "Blueprint", "MaterialInstance"), cat.index)
 
 
 @query
@@ -480,7 +480,7 @@ def clean_plan(cat):
 @query
 def shortest_path(cat):
     sources = of_type(cat, "World").select(F.col("asset_path").alias("source"))
-    found = graph.shortest_chains_to(cat.edges, sources, of_type(cat, "DataAsset"))
+    found = graph.shortest_chains_to(cat.edges, sources, of_type(cat, "DataAsset"), cat.index)
     return found.select("source", "target", F.col("hops").cast("bigint").alias("hops"), "chain")
 
 
@@ -493,7 +493,7 @@ def rename_impact(cat):
         .otherwise(F.lit("/Game/World/L_0"))
         .alias("destination"),
     )
-    return compare.rename_impact(cat.edges, cat.assets, renames)
+    return compare.rename_impact(cat.edges, cat.assets, renames, cat.index)
 
 
 # ---------------------------------------------------------------- rules and checks
