@@ -26,23 +26,26 @@ ROUNDS = 8
 WALKS = 40  # a step fails with a chance of 0.4 at most: 40 in a row do not happen
 FIRST_DAY, DAYS = "1900-01-01", 73_049  # to 2099-12-31
 
+# A hyphen before or behind a number is part of it only if another digit comes there.
 DATE = (
-    r"(?<![\d./-])(?:(?:19|20)\d\d-\d\d-\d\d|\d\d\.\d\d\.(?:19|20)\d\d|\d\d/\d\d/(?:19|20)\d\d)(?![\d/-]|\.\d)"
+    r"(?<![\d./])(?<!\d-)(?:(?:19|20)\d\d-\d\d-\d\d|\d\d\.\d\d\.(?:19|20)\d\d|\d\d/\d\d/(?:19|20)\d\d)(?![\d/]|[.-]\d)"
 )
-# What stands before a secret, and what an access key begins with.
-SECRET_NAMES = "password|passwd|api_key|secret|token"
+# What stands before a secret, in letters of either case.
+SECRET_NAMES = "(?i:password|passwd|api_key|secret|token)"
+# Letters of a mail address before its @: from the beginning of the word, however long it is.
+LOCAL = r"\p{L}\p{N}._%+-"
 KINDS = {
-    "mail": r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9])?@[A-Za-z0-9](?:[A-Za-z0-9.-]{0,250}[A-Za-z0-9])?\.[A-Za-z]{2,}",
-    "secret": rf"(?<=(?:{SECRET_NAMES})\s?[=:]\s?\"?)[A-Za-z0-9_-]{{8,}}|(?<![A-Za-z0-9])AKIA[A-Z0-9]{{16}}(?![A-Za-z0-9])",
+    "mail": rf"(?<![{LOCAL}])[{LOCAL}]++@[A-Za-z0-9](?:[A-Za-z0-9.-]*[A-Za-z0-9])?\.[A-Za-z]{{2,}}",
+    "secret": rf"(?<={SECRET_NAMES}\s?[=:]\s?\"?)[A-Za-z0-9_-]{{8,}}|(?<![A-Za-z0-9])AKIA[A-Z0-9]{{16}}(?![A-Za-z0-9])",
     "date": DATE,
-    "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
+    "ssn": r"(?<!\d)(?<!\d-)\d{3}-\d{2}-\d{4}(?!\d|-\d)",
     "address": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)",
     "phone": r"\+\d{1,3}[ -]?(?:\(\d{1,4}\)[ -]?)?\d{2,4}(?:[ -]?\d{2,4}){1,3}(?![\d])|(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)",
-    "card": r"(?<![\d.+-])\d(?:[ -]?\d){12,18}(?![\d-])",
+    "card": r"(?<![\d.+])(?<!\d-)\d(?:[ -]?\d){12,18}(?!\d|-\d)",
 }
 # No text without a match of this holds any of the kinds: all others need a digit or an @.
 MARK = f"[0-9@]|{SECRET_NAMES}|AKIA"
-PIECE = 128  # letters of a secret that are permuted together
+PIECE = 128  # letters of a secret or name that are permuted together
 # Letters of a name or secret that are permuted among themselves.
 CLASSES = {"0-9": "0123456789", "a-z": "abcdefghijklmnopqrstuvwxyz", "A-Z": "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
 # All kinds, tried in this order. Group 1 is the match, group 2 is filled where it is a secret:
@@ -191,21 +194,26 @@ def _name(value: Column, key: str, kind: str | Column) -> Column:
     return value
 
 
-def _secret(value: Column, key: str) -> Column:
-    """Long secrets go in pieces of like length, each with a permutation of its own place."""
+def _in_pieces(value: Column, key: str, kind: str) -> Column:
+    """Long values go in pieces of like length, each with a permutation of its own place."""
 
     def pieces(length: Column) -> Column:
         size = F.ceil(length / F.ceil(length / PIECE)).cast("string")
         return F.regexp_extract_all(value, F.concat(F.lit(".{1,"), size, F.lit("}")), F.lit(0))
 
     def renamed(piece: Column, i: Column) -> Column:
-        return _name(piece, key, F.concat(F.lit("secret"), F.when(i > 0, i.cast("string")).otherwise("")))
+        return _name(piece, key, F.concat(F.lit(kind), F.when(i > 0, i.cast("string")).otherwise("")))
 
     return F.array_join(F.transform(_let(F.length(value), pieces), renamed), "")
 
 
+def _secret(value: Column, key: str) -> Column:
+    return _in_pieces(value, key, "secret")
+
+
 def _mail(value: Column, key: str) -> Column:
-    return F.concat(_name(F.substring_index(value, "@", 1), key, "mail"), F.lit("@"), F.substring_index(value, "@", -1))
+    own = _let(F.substring_index(value, "@", 1), lambda local: _in_pieces(local, key, "mail"))
+    return F.concat(own, F.lit("@"), F.substring_index(value, "@", -1))
 
 
 def kind_of(value: Column) -> Column:

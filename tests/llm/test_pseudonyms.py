@@ -114,6 +114,22 @@ def test_secrets_without_digits_and_of_any_length(spark):
     assert re.fullmatch(r"token=[a-z]{100000}", got[6].text) and "x" * 10 not in got[6].text
 
 
+def test_names_of_secrets_in_capitals_hyphens_and_long_names(spark):
+    long = "abcdefghij" * 30
+    texts = ["Password: Hunter2horse", "password: Hunter2horse", "API_KEY=abcdefgh1234", "id-4337166598464399"]
+    texts += ["4337166598464399- x", "ref-078-05-1120-x", f"{long}SECRETNAME@b.org", f"m\u00fcller@{'a-' * 200}b.org", "x-2021-03-04-y"]
+    texts += ["4337166598464399-1", "1-4337166598464399", "_.x@b.org"]
+    got = run(spark, texts)
+    assert [got[i].replaced for i in range(len(texts))] == [1] * 9 + [0, 0, 1]
+    assert got[0].text[10:] == got[1].text[10:] and got[0].text.startswith("Password: ") and "Hunter" not in got[0].text
+    assert re.fullmatch("API_KEY=[a-z]{8}[0-9]{4}", got[2].text) and "abcdefgh" not in got[2].text
+    assert got[3].text[3:] == got[4].text[:16] and re.fullmatch(r"id-4\d{15}", got[3].text)
+    assert re.fullmatch(r"ref-\d{3}-\d\d-\d{4}-x", got[5].text) and re.fullmatch(r"x-\d{4}-\d\d-\d\d-y", got[8].text)
+    assert re.fullmatch("[a-z]{300}[A-Z]{10}@b.org", got[6].text)
+    assert long[:10] not in got[6].text and "SECRETNAME" not in got[6].text
+    assert got[7].text[1] == "\u00fc" and not got[7].text.startswith("m\u00fcller") and got[7].text.endswith("a-b.org")
+
+
 def test_other_texts_and_special_rows(spark):
     plain = [None, "", "no numbers", "a@b", "1.2.3", "300.1.1.1", "v 12:30 3,14 100%", "x" * 300_000, "@@@ 9 " * 30_000]
     got = run(spark, plain + plain[:3])
