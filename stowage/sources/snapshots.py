@@ -3,15 +3,18 @@
 A full version is a folder with all tables. A version of changes holds the rows of the assets it
 touched and the list of those assets; reading it puts it on top of the versions before, back to
 the last full one. A version exists once its marker has been written, which happens last, so
-readers never see half a version. The marker also keeps a note, by which a writer recognises
-its own last version.
+readers never see half a version. The marker names the version's folder, which no other writer
+has, and tells the last batch of every stream that went into it, so that a replayed batch is
+recognised whatever has been published since. Of two writers of one version the second fails.
 """
 
 from __future__ import annotations
 
 import json
 import time
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,9 +28,15 @@ class SnapshotStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
+        self._staged: dict[int, str] = {}  # folders of versions that are not published yet
+        self._markers: dict[int, dict] = {}
+
+    def _name(self, version: int) -> str:
+        return f"v={version:020d}"
 
     def _folder(self, version: int) -> str:
-        return f"{self.root}/v={version:020d}"
+        name = self._staged.get(version) or self._marker(version).get("folder", self._name(version))
+        return f"{self.root}/{name}"
 
     def _path(self, text: str):
         jvm = self.spark._jvm
@@ -39,12 +48,16 @@ class SnapshotStore:
         root, files = self._path(self.root)
         if not files.exists(root):
             return []
-        names = [status.getPath().getName() for status in files.listStatus(root)]
+        # A marker without contents belongs to a writer that has not come to its end.
+        names = [status.getPath().getName() for status in files.listStatus(root) if status.getLen() > 0]
         published = [int(name[2:-3]) for name in names if name.startswith("v=") and name.endswith(".ok")]
         return sorted(published)
 
     def _save(self, version: int, contents: dict[str, DataFrame]) -> None:
         published = self.versions()
+        if version in published:
+            raise FileExistsError(f"version {version} is published already")
+        self._staged[version] = f"{self._name(version)}-{uuid.uuid4().hex}"
         for name, columns in schema.CARRIED_TABLES.items():
             table = contents.get(name)
             if table is None:  # as it was
@@ -62,30 +75,42 @@ class SnapshotStore:
                 table = table.repartitionByRange("to_path").sortWithinPartitions("to_path", "from_path")
             table.write.mode("overwrite").parquet(f"{self._folder(version)}/{name}")
 
-    def _publish(self, version: int, marker: dict) -> None:
-        path, files = self._path(self._folder(version) + ".ok")
-        out = files.create(path, True)
+    def _publish(self, version: int, marker: dict, batch: tuple[str, int] | None) -> None:
+        newest = self.versions()[-1:]
+        streams = self._marker(newest[0]).get("streams", {}) if newest else {}
+        marker |= {"folder": self._staged.pop(version), "streams": streams | (dict([batch]) if batch else {})}
+        path, files = self._path(f"{self.root}/{self._name(version)}.ok")
+        unfinished = files.exists(path) and files.getFileStatus(path).getLen() == 0
+        try:
+            out = files.create(path, unfinished)
+        except Py4JJavaError as error:
+            if files.exists(path):
+                raise FileExistsError(f"version {version} has been published by another writer") from error
+            raise
         out.write(bytearray(json.dumps(marker).encode()))
         out.close()
 
     def _marker(self, version: int) -> dict:
-        path, files = self._path(self._folder(version) + ".ok")
-        source = files.open(path)
-        try:
-            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
-        finally:
-            source.close()
-        return json.loads(text) if text else {}
-
-    def note(self, version: int) -> str | None:
-        return self._marker(version).get("note")
-
-    def write(self, version: int, contents: dict[str, DataFrame], note: str | None = None) -> None:
-        """Write all tables, then publish. A published version is never written again."""
-        if version in self.versions():
-            return
+        """A published version's marker, which never changes."""
+        if version not in self._markers:
+            path, files = self._path(f"{self.root}/{self._name(version)}.ok")
+            source = files.open(path)
+            try:
+                text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
+            finally:
+                source.close()
+            self._markers[version] = json.loads(text)
+        return self._markers[version]
+
+    def applied(self, stream: str) -> int | None:
+        """The last batch of a stream that any version up to the newest holds."""
+        newest = self.versions()[-1:]
+        return self._marker(newest[0]).get("streams", {}).get(stream) if newest else None
+
+    def write(self, version: int, contents: dict[str, DataFrame], batch: tuple[str, int] | None = None) -> None:
+        """Write all tables, then publish. `batch`: the stream and the number of the batch behind it."""
         self._save(version, contents)
-        self._publish(version, {"note": note})
+        self._publish(version, {}, batch)
 
     def stage_changes(self, version: int, fresh: dict[str, DataFrame], touched: DataFrame) -> dict[str, DataFrame]:
         """Write what a version changes without publishing it; returns the catalogue as it would be."""
@@ -93,8 +118,8 @@ class SnapshotStore:
         touched.select("asset_path").distinct().write.mode("overwrite").parquet(f"{self._folder(version)}/touched")
         return self._stacked([*self.chain(self.versions()[-1]), version])
 
-    def publish_changes(self, version: int, note: str | None = None) -> None:
-        self._publish(version, {"note": note, "below": self.versions()[-1]})
+    def publish_changes(self, version: int, batch: tuple[str, int] | None = None) -> None:
+        self._publish(version, {"below": self.versions()[-1]}, batch)
 
     def small(self, name: str, version: int | None = None) -> DataFrame:
         """History, baselines or properties as of a version, by default the newest."""

@@ -105,8 +105,9 @@ class Watch:
         """Apply one batch of (asset_path, kind, …) and write the new problems it caused."""
         if not self.store.versions():
             self.store.write(1, {})
-        newest, note = self.store.versions()[-1], f"{stream}#{batch_id}"
-        if self.store.note(newest) == note:
+        newest = self.store.versions()[-1]
+        # Only a stream's last batch is ever replayed, however much others have published since.
+        if self.store.applied(stream) == batch_id:
             return
         # A path may occur in several windows of a batch: its latest kind counts.
         latest, rows = settle(
@@ -125,10 +126,10 @@ class Watch:
         found.write.mode("overwrite").parquet(f"{self.store.root}/reports/v={newest + 1:020d}")
         # Publishing the version comes last: until then a replay redoes all of the above.
         if len(self.store.chain(newest)) < FULL_EVERY:
-            self.store.publish_changes(newest + 1, note)
+            self.store.publish_changes(newest + 1, (stream, batch_id))
         else:
             whole = {name: settle(table)[0] for name, table in after.items()}
-            self.store.write(newest + 1, whole, note)
+            self.store.write(newest + 1, whole, (stream, batch_id))
 
     def reports(self, version: int) -> DataFrame:
         return self.store.spark.read.parquet(f"{self.store.root}/reports/v={version:020d}")

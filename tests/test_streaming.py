@@ -1,6 +1,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from stowage import schema
@@ -176,6 +177,28 @@ def test_only_new_problems_are_reported_and_replays_change_nothing(spark, make_a
     assert reported(watch, 3) == [("new dead asset", "/Game/A"), ("new dead asset", "/Game/E")]
 
 
+def test_replays_are_known_after_other_writers_and_no_version_is_written_twice(spark, make_assets, make_edges, tmp_path):
+    root = str(tmp_path / "store")
+    store, other = SnapshotStore(spark, root), SnapshotStore(spark, root)
+    start = catalogue(make_assets, make_edges, ["/Game/A"], [])
+    store.write(1, start)
+    truth = full(spark, catalogue(make_assets, make_edges, ["/Game/A", "/Game/C"], []))
+    one = batch(spark, (1, 0, "/Game/C", "Created"))
+    Watch(store, rescan_from(truth)).process(one, 0, "stream")
+    other.write(3, catalogue(make_assets, make_edges, ["/Game/A", "/Game/B"], []))  # a scan comes in between
+    Watch(other, rescan_from(truth)).process(one, 0, "stream")
+    assert store.versions() == [1, 2, 3] and store.applied("stream") == 0 and store.applied("else") is None
+    with pytest.raises(FileExistsError):
+        store.write(3, start)
+    # Both have chosen 4 before either has published it.
+    touched = spark.createDataFrame([("/Game/D",)], "asset_path string")
+    store.stage_changes(4, full(spark, catalogue(make_assets, make_edges, ["/Game/D"], [])), touched)
+    other.write(4, catalogue(make_assets, make_edges, ["/Game/E"], []))
+    with pytest.raises(FileExistsError):
+        store.publish_changes(4)
+    assert [r.asset_path for r in store.read()["assets"].collect()] == ["/Game/E"]
+
+
 def test_watch_survives_a_restart_and_skips_empty_batches(spark, make_assets, make_edges, tmp_path):
     store = SnapshotStore(spark, str(tmp_path / "store"))
     store.write(1, catalogue(make_assets, make_edges, ["/Game/A", "/Game/B", "/Game/C"], [("/Game/A", "/Game/B"), ("/Game/B", "/Game/C")]))
