@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from stowage.functions import paths, skew
 from stowage.operators import reachability
 from stowage.operators.reachability import Index
-from stowage.operators.walks import CHAIN_SEPARATOR, COMPACT_EVERY, Adjacency, reach, reach_any
+from stowage.operators.walks import Adjacency, reach, reach_any  # noqa: F401
 from stowage.session import discard, settle, settle_observed
 
 # Reference roots that are not part of a project.
