@@ -94,3 +94,77 @@ def test_without_labels_or_documents(spark):
     assert [r.score for r in toxic(docs, none).collect()] == [0.0]
     assert [r.score for r in toxic(docs, one).collect()] == [1.0]
     assert toxic(docs.limit(0), one).collect() == []
+
+
+def rare_insults(n, seed):
+    """Long texts of words that hardly recur; every eighth holds one or two of six insults."""
+    rng = random.Random(seed)
+    syllables = ["ka", "lo", "mi", "tur", "ven", "sha", "po", "ri", "dal", "es", "qui", "on"]
+    texts, labels = [], []
+    for i in range(n):
+        words = ["".join(rng.choices(syllables, k=rng.randint(2, 5))) for _ in range(rng.randint(30, 400))]
+        for _ in range(rng.randint(1, 2) if i % 8 == 0 else 0):
+            words.insert(rng.randint(0, len(words)), rng.choice(["grumb", "vileze", "hatog", "scorz", "bleck", "fuzzat"]))
+        texts.append(" ".join(words))
+        labels.append(int(i % 8 == 0))
+    return texts, labels
+
+
+def test_learns_insults_instead_of_texts_by_heart():
+    net = toxicity.train(*rare_insults(480, 3), 0.125)
+    texts, labels = rare_insults(400, 4)
+    found = toxicity.Scorer(net).score(texts) >= 0.5
+    truth = np.array(labels) == 1
+    assert found[truth].mean() >= 0.9 and found[~truth].mean() <= 0.01
+
+
+def test_sureness_prefers_words_of_many_texts():
+    texts = ["bad own%d und" % i for i in range(6)] + ["und so%d" % i for i in range(6)]
+    sample = toxicity.Sample(texts)
+    sure = toxicity.sureness(sample, np.array([1] * 6 + [0] * 6, "f4"))
+    by_word = dict(zip([b""] + sample.words, sure))
+    assert by_word[b"bad"] > by_word[b"own1"] > 0 == by_word[b"und"] == by_word[b"so1"] == by_word[b""]
+
+
+def plain_logit(net, words):
+    """The network word by word, in plain Python floats."""
+    x = [np.zeros(2 * toxicity.WIDTH)] * (toxicity.WINDOW - len(words))
+    x = [net.vectors([w])[0].astype("f8") for w in words] + x
+    sides = []
+    for side, order in (("f", range(len(x))), ("b", reversed(range(len(x))))):
+        h, states, size = np.zeros(toxicity.HIDDEN), {}, toxicity.HIDDEN
+        for t in order:
+            g = x[t] @ net.p[f"W{side}"] + net.p[f"c{side}"]
+            s = h @ net.p[f"U{side}"]
+            z = 1 / (1 + np.exp(-(g[:size] + s[:size])))
+            r = 1 / (1 + np.exp(-(g[size : 2 * size] + s[size : 2 * size])))
+            h = (1 - z) * np.tanh(g[2 * size :] + r * s[2 * size :]) + z * h
+            states[t] = h
+        sides.append(states)
+    both = [np.concatenate([sides[0][t], sides[1][t]]) for t in range(len(x))]
+    e = np.array([np.tanh(b @ net.p["A"] + net.p["a"]) @ net.p["v"] for b in both])
+    weight = np.exp(e - e.max()) / np.exp(e - e.max()).sum()
+    return sum(w * (b @ net.p["w"]) for w, b in zip(weight, both)) + net.p["d"][0]
+
+
+def test_scores_against_a_plain_forward_pass():
+    net = toxicity.Network.start(known=[b"ka", b"lo"])
+    net.slope, net.level = 1.7, -0.3
+    rng = random.Random(5)
+    for n in (0, 1, 31, 32, 33, 100):
+        words = [rng.choice([b"ka", b"lo", b"mi", "é".encode()]) for _ in range(n)]
+        begins = sorted({*range(0, max(1, n - toxicity.WINDOW + 1), toxicity.STRIDE), max(0, n - toxicity.WINDOW)})
+        worst = max(plain_logit(net, words[b : b + toxicity.WINDOW]) for b in begins)
+        want = 1 / (1 + np.exp(-(1.7 * worst - 0.3)))
+        got = toxicity.Scorer(net).score([b" ".join(words).decode()])[0]
+        assert got == pytest.approx(want, rel=1e-4), n
+
+
+def test_repeated_ids_give_the_same_sample(spark):
+    rows = [(i % 3, "text %d" % i) for i in range(200)]
+    marks = spark.createDataFrame([(0, 1), (1, 0), (2, 0)], "doc_id bigint, toxic int")
+    samples = [
+        toxicity.labelled_sample(spark.createDataFrame(own, "doc_id bigint, text string").repartition(k), marks, per_class=5)
+        for k, own in ((3, rows), (7, rows[::-1]))
+    ]
+    assert samples[0] == samples[1] and len(samples[0][0]) == 10
