@@ -11,15 +11,16 @@ from stowage.llm.common import read, whole
 from stowage.session import settle
 
 
-def encoded(documents: DataFrame, ranks_path: str) -> DataFrame:
-    """Digests of the ids of every text and of the bytes they decode to."""
+def encoded(documents: DataFrame, ranks_path: str, *carried: str) -> DataFrame:
+    """Digests of the ids of every text and of the bytes they decode to; `carried` columns are passed on."""
     ranks = bpe.read_ranks(ranks_path)
-    ids = bpe.encode(documents.select("doc_id", "text"), ranks, public_tokenizers.PATTERN).drop("text")
+    ids = bpe.encode(documents.select("doc_id", "text", *carried), ranks, public_tokenizers.PATTERN).drop("text")
     return bpe.decode(ids, ranks).select(
         "doc_id",
         F.expr("cast(length(ids) div 4 as bigint)").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        *carried,
     )
 
 
@@ -134,13 +135,13 @@ def op8_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def ratings(labels: DataFrame) -> DataFrame:
-    """Grades from the labels: 0 poor, 1 good but toxic, 2 good."""
-    good = F.when(F.col("quality") == 0, 0).when(F.col("quality") == 1, F.when(F.col("toxic") == 1, 1).otherwise(2))
-    return labels.select("doc_id", good.alias("grade"))
+    """The labels' own grades of quality, as many as there are, from 0 (poor) up."""
+    return labels.select("doc_id", F.when(F.col("quality") >= 0, F.col("quality").cast("int")).alias("grade"))
 
 
 def graded(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """Expected grade of every text, and whether it is likelier good than poor (the tail of grade 1)."""
+    """Expected grade of every text, whether it is likelier good than poor (the tail of grade 1), and the
+    chance of the best grade (the last tail; with two grades the same)."""
     model = quality.fit(*quality.rated_sample(documents, ratings(labels)))
     tails = quality.grade(documents.select("doc_id", "text"), model).drop("text")
     tail = F.get("tails", F.lit(0))
@@ -149,7 +150,7 @@ def graded(documents: DataFrame, labels: DataFrame) -> DataFrame:
         toxicity.is_held_out().alias("held_out"),
         F.aggregate("tails", F.lit(0.0), lambda a, x: a + x).alias("expected_grade"),
         tail.alias("score"),
-        F.get("tails", F.lit(1)).alias("top_tail"),
+        F.element_at("tails", -1).alias("top_tail"),
         (tail >= 0.5).cast("int").alias("predicted"),
         (tail >= 0.5).alias("kept"),
     )

@@ -3,6 +3,8 @@ from collections import Counter
 
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from test_mixing import brute as brute_mix
 from test_simhash import brute_components, plain_fingerprint
@@ -69,13 +71,31 @@ def test_every_stage_against_plain_python(spark, folder):
 
 def test_run_applies_all_stages(spark, folder):
     out = corpus_pipeline.run(spark, folder)
-    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-    found = {r.doc_id for r in out.collect()}
+    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "position"]
+    rows = out.collect()
+    found = {r.doc_id for r in rows}
+    assert sorted(r.position for r in rows) == list(range(1, len(rows) + 1))
     assert found and sum(i % 5 == 0 and i < 500 for i in found) <= 3
     # Of exact copies the larger id stays, so originals of the copies are gone.
     assert not found & {1 + 3 * k for k in range(60) if (1 + 3 * k) % 5}
 
 
+def test_positions_are_the_training_order(spark, folder, tmp_path):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumn("position", F.lit("clash"))
+    mixed = stage("mixing")(spark, docs.withColumn("__row", F.lit(1)), folder)
+    order = [r.doc_id for r in mixed.collect()]
+    mixed.repartitionByRange(3, F.monotonically_increasing_id()).write.parquet(f"{tmp_path}/mixed")
+    # Once as files, whose splits come in any order, and once as rows.
+    for own in (spark.read.parquet(f"{tmp_path}/mixed").withColumn("position", F.lit(0)), mixed):
+        out = stage("tokens")(spark, own, folder).orderBy("position").collect()
+        assert [r.position for r in out] == list(range(1, len(order) + 1))
+        if own is mixed:
+            assert [r.doc_id for r in out] == order
+    mixed.write.parquet(f"{tmp_path}/sorted")
+    out = stage("tokens")(spark, spark.read.parquet(f"{tmp_path}/sorted"), folder).orderBy("position").collect()
+    assert [r.doc_id for r in out] == order
+
+
 def test_empty_table(spark, folder):
     empty = spark.createDataFrame([], COLUMNS)
     for name, own in corpus_pipeline.STAGES:

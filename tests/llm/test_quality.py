@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from stowage.llm import quality
-from stowage.llm.queries import graded
+from stowage.llm.queries import graded, ratings
 
 
 def corpus(n, seed):
@@ -18,7 +18,7 @@ def corpus(n, seed):
         elif grade == 1:
             words = [w if rng.random() < 0.8 else "meh" + w for w in words]
         rows.append((i, " ".join(words), 1))
-        labels.append((i, int(grade > 0), int(grade == 1)))
+        labels.append((i, grade, 0))
     return rows, labels
 
 
@@ -29,7 +29,7 @@ def test_held_out_grades_and_special_rows(spark):
     marks = spark.createDataFrame([*labels, (None, 1, 0), (3, None, None)], "doc_id bigint, quality int, toxic int")
     got = graded(docs, marks).collect()
     assert len(got) == len(rows) + len(extra)
-    truth = {i: q for i, q, _ in labels}
+    truth = {i: int(q > 0) for i, q, _ in labels}
     held = [r for r in got if r.held_out and r.doc_id in truth]
     assert sum(r.predicted == truth[r.doc_id] for r in held) / len(held) > 0.95
     for r in got:
@@ -40,7 +40,7 @@ def test_held_out_grades_and_special_rows(spark):
 
 def test_fit_finds_the_maximum_of_the_likelihood():
     rows, labels = corpus(400, 5)
-    grades = [q + (q and not t) for _, q, t in labels]
+    grades = [q for _, q, _ in labels]
     shares = {g: grades.count(g) / len(grades) for g in (0, 1, 2)}
     model = quality.fit([t for _, t, _ in rows], grades, shares)
     assert model.thresholds[0] < model.thresholds[1]
@@ -64,5 +64,23 @@ def test_without_ratings_or_documents(spark):
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     one = spark.createDataFrame([(1, 1, 0)], "doc_id bigint, quality int, toxic int")
     assert [r.kept for r in graded(docs, none).collect()] == [False]
-    assert [r.expected_grade for r in graded(docs, one).collect()] == [2.0]
+    assert [r.expected_grade for r in graded(docs, one).collect()] == [1.0]
     assert graded(docs.limit(0), one).collect() == []
+
+
+@pytest.mark.parametrize("grades", [2, 3, 4])
+def test_scores_against_plain_python(spark, grades):
+    rows, labels = corpus(300, 7)
+    labels = [(i, q + (i % 2 if grades == 4 and q == 2 else 0) if grades > 2 else min(q, 1), 1) for i, q, _ in labels]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, tails int")
+    marks = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    model = quality.fit(*quality.rated_sample(docs, ratings(marks)))
+    assert len(model.thresholds) == grades - 1 and list(model.thresholds) == sorted(model.thresholds)
+    texts = {i: t for i, t, _ in rows}
+    for r in graded(docs, marks).collect():
+        words = texts[r.doc_id].encode().split()
+        strength = sum(model.weights[f] for w in words for f in quality.features_of(w)) / len(words)
+        strength += model.weights[quality.REPEAT] * sum(a == b for a, b in zip(words, words[1:])) / len(words)
+        tails = [1 / (1 + np.exp(-(quality.SCALE * strength - t))) for t in model.thresholds]
+        assert r.score == pytest.approx(tails[0], abs=1e-9) and r.top_tail == pytest.approx(tails[-1], abs=1e-9)
+        assert r.expected_grade == pytest.approx(sum(tails), abs=1e-9)
