@@ -8,8 +8,8 @@ its paragraphs. The root covers the sections. All digests are SHA-256.
 
 A fingerprint is the root and, shortened to 8 digits, every digest below it:
 `root|section(paragraph[piece,piece];paragraph[piece])section(…)`. Equal texts have equal roots, and texts
-of equal roots are equal. Below differing roots, only sections, paragraphs and pieces that the
-other tree lacks need a look, which locates an edit. The likeness of two fingerprints is twice
+of equal roots are equal. Below differing roots, only sections that the other tree lacks need a
+look, and in them only the paragraphs that its differing sections lack, which locates an edit. The likeness of two fingerprints is twice
 the number of pieces they share over the pieces they have, each distinct piece counted once.
 
 Null counts as the empty text, which has a root and no pieces; two empty texts are alike 1, an
@@ -104,10 +104,37 @@ def paragraphs(fp: Column) -> Column:
     return F.flatten(nested)
 
 
+def _trees(own: Column) -> Column:
+    """The paragraphs of some sections, as texts."""
+    return F.flatten(F.transform(own, lambda s: F.split(F.regexp_extract(s, r"\((.*)\)", 1), ";")))
+
+
+def branches(a: Column, b: Column) -> Column:
+    """What `b` has and `a` lacks: (sections, paragraphs), lists of shortened digests in reading order, each
+    once. Found from the root down: equal roots have none, and only differing sections are opened."""
+
+    def below(both: Column) -> Column:
+        fresh = F.array_except(both["b"], both["a"])
+        unknown = F.array_except(_trees(fresh), _trees(F.array_except(both["a"], both["b"])))
+        digests = lambda nodes: F.array_distinct(F.transform(nodes, lambda n: F.substring(n, 1, 8)))
+        return F.struct(digests(fresh).alias("sections"), digests(unknown).alias("paragraphs"))
+
+    nothing = F.array().cast("array<string>")
+    none = F.struct(nothing.alias("sections"), nothing.alias("paragraphs"))
+    found = _let(F.struct(sections(a).alias("a"), sections(b).alias("b")), below)
+    return F.when(root(a) == root(b), none).otherwise(found)
+
+
 def differing(a: Column, b: Column) -> Column:
-    """Where `b` has paragraphs that `a` lacks: (section, paragraph, tree), found from the root down."""
-    unknown = F.filter(paragraphs(b), lambda p: ~F.array_contains(paragraphs(a)["tree"], p["tree"]))
-    return F.when(root(a) == root(b), F.filter(paragraphs(b), lambda p: F.lit(False))).otherwise(unknown)
+    """Where in `b` those paragraphs are: (section, paragraph, tree), as `paragraphs` gives them."""
+
+    def placed(found: Column) -> Column:
+        opened = F.filter(
+            paragraphs(b), lambda p: F.array_contains(found["paragraphs"], F.substring(p["tree"], 1, 8))
+        )
+        return F.when(F.size(found["paragraphs"]) > 0, opened).otherwise(F.filter(opened, lambda p: F.lit(False)))
+
+    return _let(branches(a, b), placed)
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -169,6 +196,7 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
     paired = with_next(docs, fingerprint)
     changed = paired.select("doc_id", "text", "made", "next_made", edited(F.col("text"), F.col("next_text")).alias("edit"))
     printed = changed.select("*", fingerprint(F.col("edit")).alias("edited_made"))
+    printed = printed.withColumn("branches", branches(F.col("made"), F.col("edited_made")))
     return printed.select(
         "doc_id",
         F.length("text").cast("bigint").alias("n_chars"),
@@ -177,4 +205,6 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
         F.col("edited_made").alias("edited_fingerprint"),
         likeness(F.col("made"), F.col("edited_made")).alias("near_edited"),
         likeness(F.col("made"), F.col("next_made")).alias("near_next"),
+        F.col("branches.sections").alias("edited_sections"),
+        F.col("branches.paragraphs").alias("edited_paragraphs"),
     )

@@ -22,6 +22,11 @@ def edits(rows):
     return out
 
 
+def tree(fp):
+    """[(section, [paragraph, …]), …] of a fingerprint."""
+    return [(s[:8], s[9:].split(";")) for s in fp[65:].split(")") if s]
+
+
 def texts():
     rng = random.Random(11)
     made = [None, "", "\n", "a", "ab", "abc.", "é😀漢" * 50, "x\n\ny\n\n\nz", "no end " * 30_000]
@@ -52,6 +57,12 @@ def test_against_brute_force(spark, monkeypatch):
         assert (r.near_next == 1) == (text == following)
         for t, f in ((text, r.fingerprint), (edit, r.edited_fingerprint)):
             assert seen.setdefault(t, f) == f
+        assert (not r.edited_sections) == (not r.edited_paragraphs) == (text == edit)
+        own, other = (tree(f) for f in (r.fingerprint, r.edited_fingerprint))
+        fresh = [s for s in other if s not in own]
+        known = [p for s in own if s not in other for p in s[1]]
+        assert r.edited_sections == list(dict.fromkeys(s[0] for s in fresh))
+        assert r.edited_paragraphs == list(dict.fromkeys(p[:8] for _, below in fresh for p in below if p not in known))
     assert len(set(seen.values())) == len(seen)
 
 
