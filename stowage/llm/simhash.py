@@ -2,10 +2,11 @@
 
 Two 64-bit fingerprints that differ in at most 3 bits agree in at least 5 of their 8 bytes, each
 at its own position. Of the first 7 positions they then agree in at least 4, so the index posts
-a fingerprint under each of the 35 choices of 4 positions. For a pair that meets in a posting
-list, the positions with equal bytes are tallied; pairs below the guaranteed 5 matches are
-dropped by the count alone, and the rest is verified bit by bit. A pair that meets in several
-lists counts in the first only. Equal fingerprints are one node, however many documents share it.
+a fingerprint under each of the 35 choices of 4 positions. The lists that a pair meets in are
+gathered per pair: their positions together are all of the first 7 in which its bytes are equal,
+and the byte at the eighth is compared. Pairs whose tally stays below the guaranteed 5 are
+dropped, and only the pairs left are verified bit by bit. Equal fingerprints are one node, however
+many documents share it.
 
 Lists of more than `dense` fingerprints (a large family of near copies) are not paired out.
 Their fingerprints are first linked with those one bit away, through 64 masked keys that at most
@@ -38,7 +39,7 @@ SEED = 42
 MAX_BITS = 3
 BYTES = 8
 MIN_SHARED = BYTES - MAX_BITS
-DENSE = 1024
+DENSE = 256
 CHUNK = 1 << 16
 
 
@@ -93,18 +94,36 @@ def postings(nodes: DataFrame, choose: int, of: int) -> DataFrame:
     return nodes.select("*", F.explode(F.array(*lists)).alias("list")).select(*nodes.columns, "list.*")
 
 
-def _links(posts: DataFrame, apart: bool = False) -> DataFrame:
-    """Verified pairs (a, b) that meet in a posting list; `apart`: only those of two components."""
-    left = posts.select("at", "upto", "kept", *(F.col(c).alias(f"{c}_a") for c in posts.columns if c in ("fp", "root")))
-    right = posts.select("at", "kept", *(F.col(c).alias(f"{c}_b") for c in posts.columns if c in ("fp", "root")))
-    x = F.col("fp_a").bitwiseXOR(F.col("fp_b"))
+def meetings(posts: DataFrame) -> DataFrame:
+    """(a, b, at) for every list in which a pair a < b meets."""
+    left = posts.select("at", "kept", F.col("fp").alias("a"))
+    right = posts.select("at", "kept", F.col("fp").alias("b"))
+    return left.join(right, ["at", "kept"]).where("a < b").select("a", "b", "at")
+
+
+def tallies(met: DataFrame) -> DataFrame:
+    """(a, b, shared): how many bytes a pair that meets has in common, each at its own position."""
+    last = _same(F.col("a").bitwiseXOR(F.col("b")), BYTES - 1)
+    gathered = met.groupBy("a", "b").agg(F.bit_or("at").alias("at"))
+    return gathered.select("a", "b", (F.bit_count("at") + last).alias("shared"))
+
+
+def _links(posts: DataFrame) -> DataFrame:
+    """Verified pairs (a, b) among those whose tally reaches the guaranteed number."""
+    candidates, _ = settle(tallies(meetings(posts)).where(F.col("shared") >= MIN_SHARED).select("a", "b"))
+    return candidates.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS)
+
+
+def _links_apart(posts: DataFrame) -> DataFrame:
+    """Verified pairs (a, b) of two components. Lists are of MIN_SHARED positions here, so meeting in one
+    reaches the number; a pair that meets in several counts in the first only."""
+    left = posts.select("at", "upto", "kept", F.col("fp").alias("a"), F.col("root").alias("root_a"))
+    right = posts.select("at", "kept", F.col("fp").alias("b"), F.col("root").alias("root_b"))
+    x = F.col("a").bitwiseXOR(F.col("b"))
     equal = sum((_same(x, p) * F.lit(1 << p) for p in range(BYTES)), F.lit(0))
-    tally = F.bit_count(equal)
     first = equal.bitwiseAND(F.col("upto")) == F.col("at")
-    wanted = (F.col("fp_a") < F.col("fp_b")) & first & (tally >= MIN_SHARED) & (F.bit_count(x) <= MAX_BITS)
-    if apart:
-        wanted &= F.col("root_a") != F.col("root_b")
-    return left.join(right, ["at", "kept"]).where(wanted).select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))
+    wanted = (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & first & (F.bit_count(x) <= MAX_BITS)
+    return left.join(right, ["at", "kept"]).where(wanted).select("a", "b")
 
 
 def _one_bit_links(nodes: DataFrame) -> DataFrame:
@@ -131,7 +150,7 @@ def near_pairs(nodes: DataFrame, dense: int = DENSE) -> DataFrame:
     finer = postings(labelled, MIN_SHARED, BYTES)
     mixed = finer.groupBy("at", "kept").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s")
     rest = finer.join(mixed.select("at", "kept"), ["at", "kept"], "left_semi")
-    return _links(usual).unionAll(near).unionAll(_links(rest, apart=True)).distinct()
+    return _links(usual).unionAll(near).unionAll(_links_apart(rest)).distinct()
 
 
 def near_duplicates(fingerprinted: DataFrame, dense: int = DENSE) -> DataFrame:

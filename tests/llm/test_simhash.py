@@ -61,6 +61,27 @@ def test_fingerprints_and_components_against_brute_force(spark):
     assert got == want
 
 
+def test_the_tally_drops_pairs_before_they_are_verified(spark):
+    rng = random.Random(8)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    codes = set(base)
+    for code in base:
+        for _ in range(6):  # 1 to 8 bytes exchanged
+            raw = bytearray(code.to_bytes(8, "little"))
+            for at in rng.sample(range(8), rng.randint(1, 5)):
+                raw[at] ^= 1 << rng.randrange(8)
+            codes.add(int.from_bytes(raw, "little"))
+    signed = sorted(c - 2**64 if c >> 63 else c for c in codes)
+    posts = simhash.postings(spark.createDataFrame([(c,) for c in signed], "fp bigint"), 4, 7)
+    got = {(r.a, r.b): r.shared for r in simhash.tallies(simhash.meetings(posts)).collect()}
+    same = lambda a, b: [x == y for x, y in zip(*((c % 2**64).to_bytes(8, "little") for c in (a, b)))]
+    pairs = {(a, b): same(a, b) for i, a in enumerate(signed) for b in signed[i + 1 :]}
+    assert got == {p: sum(equal) for p, equal in pairs.items() if sum(equal[:7]) >= 4}
+    dropped = {p for p, n in got.items() if n < simhash.MIN_SHARED}
+    near = {p for p in pairs if ((p[0] ^ p[1]) % 2**64).bit_count() <= 3}
+    assert dropped and near and near <= got.keys() - dropped < got.keys()
+
+
 def ball(rng, centre, bits, n):
     return {centre ^ sum(1 << b for b in rng.sample(bits, rng.randint(0, 4))) for _ in range(n)}
 
