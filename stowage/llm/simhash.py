@@ -39,7 +39,7 @@ SEED = 42
 MAX_BITS = 3
 BYTES = 8
 MIN_SHARED = BYTES - MAX_BITS
-DENSE = 256
+DENSE = 32
 CHUNK = 1 << 16
 
 
