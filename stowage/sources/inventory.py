@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stowage.functions import paths
+from stowage.session import settle_observed
+
+# Schemes of folders that tasks can list themselves; a plain path has none.
+LISTED_IN_TASKS = ("", "file", "hdfs", "gs", "s3")
+ENTRIES = "path string, is_folder boolean, mtime bigint, length bigint"
+LISTING_ROWS = 4096
+# Folders that one task lists in a round.
+TASK_FOLDERS = 64
 
 
 @dataclass(frozen=True)
@@ -66,8 +79,62 @@ class ScanRules:
         )
 
 
+def _entries(folder: str) -> Iterator[tuple]:
+    """What lies in one folder. Links to folders are not followed; a folder that is gone by now is empty."""
+    if "://" in folder:
+        system, path = fs.FileSystem.from_uri(folder)
+        for found in system.get_file_info(fs.FileSelector(path, allow_not_found=True)):
+            is_folder = found.type == fs.FileType.Directory
+            yield folder.removesuffix(path) + found.path, is_folder, (found.mtime_ns or 0) // 10**9, found.size or 0
+        return
+    try:
+        with os.scandir(folder) as listed:
+            for found in listed:
+                if found.is_dir(follow_symlinks=False):
+                    yield found.path, True, 0, 0
+                elif found.is_file():
+                    about = found.stat()
+                    yield found.path, False, about.st_mtime_ns // 10**9, about.st_size
+    except (FileNotFoundError, NotADirectoryError):
+        return
+
+
+def _list(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [part.split()[0] for part in ENTRIES.split(", ")]
+    rows = []
+    for batch in batches:
+        for folder in batch["path"]:
+            for entry in _entries(folder):
+                rows.append(entry)
+                if len(rows) == LISTING_ROWS:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+    if rows:
+        yield pd.DataFrame(rows, columns=names)
+
+
 def discover(spark: SparkSession, root: str) -> DataFrame:
-    """Package files below `root`: (file_path, mtime, length). File contents are not read."""
+    """Package files below `root`: (file_path, mtime, length). File contents are not read.
+
+    Tasks list the folders of one depth after the other; the driver sees how many there are.
+    Folders of a scheme that they cannot open are listed by Spark's file source in the driver.
+    """
+    scheme = root.split(":", 1)[0] if "://" in root or root.startswith("file:") else ""
+    if scheme not in LISTED_IN_TASKS:
+        return _discover_by_reader(spark, root)
+    top = "/" + root.removeprefix("file:").lstrip("/") if scheme == "file" else root
+    levels, number = [], 1
+    below = spark.createDataFrame([(top,)], "path string")
+    while number:
+        spread = below.repartition(max(1, -(-number // TASK_FOLDERS)), "path")
+        level, seen = settle_observed(spread.mapInPandas(_list, ENTRIES), folders=F.count_if("is_folder"))
+        levels.append(level.where("not is_folder"))
+        below, number = level.where("is_folder").select("path"), int(seen["folders"])
+    listing = reduce(DataFrame.unionAll, levels)
+    return listing.where(paths.is_package_file(F.col("path"))).select(F.col("path").alias("file_path"), "mtime", "length")
+
+
+def _discover_by_reader(spark: SparkSession, root: str) -> DataFrame:
     listing = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")

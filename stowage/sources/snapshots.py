@@ -197,8 +197,7 @@ def scan(
     """Scan a project into the next version: list, decode what changed, merge, record, publish.
 
     `files` is an inventory (file_path, mtime, length) that some other job has listed; without
-    one the project folder is listed through Spark's file source, which holds the listing in the
-    driver. Every version gets its row in the history, and with `save_baseline` a name.
+    one tasks list the project's folders. Every version gets its row in the history, and with `save_baseline` a name.
 
     Returns one-row `delta` counts, the `skipped` files, and what the scan changed: `added` and
     `deleted` assets, `grown` files. A package that changed but no longer decodes keeps its

@@ -135,10 +135,11 @@ class Watch:
         return self.store.spark.read.parquet(f"{self.store.root}/reports/v={version:020d}")
 
     def writer(
-        self, events: DataFrame, checkpoint: str, lateness: str = "1 minute", window: str = changes.DEBOUNCE
+        self, events: DataFrame, checkpoint: str, lateness: str = "1 minute", length_ms: int = 300
     ) -> DataStreamWriter:
-        """Stream writer over change events; events later than `lateness` are dropped."""
-        batches = changes.debounce(events.withWatermark("ts", lateness), window)
+        """Stream writer over change events; a path's first event opens its window of `length_ms`, and
+        events later than `lateness` are dropped."""
+        batches = changes.stream_debounce_from_first(events, lateness, length_ms)
         return (
             batches.writeStream.outputMode("append")
             .option("checkpointLocation", checkpoint)
