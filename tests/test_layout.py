@@ -10,7 +10,7 @@ from stowage.operators.walks import Adjacency, edges_reached
 from stowage.plans import derived
 from stowage.plans.catalogue import Catalogue
 from stowage.plans.queries import QUERIES
-from stowage.session import settle_distinct, settle_partitioned
+from stowage.session import kept_buckets, settle_distinct, settle_partitioned
 
 
 def plan(df):
@@ -98,3 +98,17 @@ def test_comparing_errors_stores_no_references(spark, given, name):
     for view in ("prev_deps", "edges"):
         ours, theirs = (sorted(map(repr, df.collect())) for df in (cat.unstored(view), stored.table(view)))
         assert ours == theirs
+
+
+def test_former_references_stay_in_the_buckets_of_the_present_ones(spark, given):
+    cat = Catalogue.derive(spark, given)
+    assert cat.deps.count()
+    parts = cat._partitions()
+    with kept_buckets(spark):
+        assert "Exchange" not in plan(cat._laid_out("prev_deps", parts))
+    lost = cat.deps.join(cat.prev_deps.hint("merge"), ["from_path", "to_path"], "left_anti")
+    assert "Exchange" not in plan(lost)
+    plain = derived.load(spark, given, "prev_deps")
+    rows = lambda df: sorted(map(repr, df.collect()))
+    assert rows(cat.prev_deps) == rows(plain)
+    assert rows(lost) == rows(derived.load(spark, given, "deps").join(plain, ["from_path", "to_path"], "left_anti"))
