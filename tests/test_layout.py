@@ -5,6 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from stowage.functions import skew
 from stowage.operators import graph, reachability
 from stowage.operators.walks import Adjacency, edges_reached
 from stowage.plans import derived
@@ -112,3 +113,31 @@ def test_former_references_stay_in_the_buckets_of_the_present_ones(spark, given)
     rows = lambda df: sorted(map(repr, df.collect()))
     assert rows(cat.prev_deps) == rows(plain)
     assert rows(lost) == rows(derived.load(spark, given, "deps").join(plain, ["from_path", "to_path"], "left_anti"))
+
+
+def test_group_sizes_are_computed_once(spark, make_edges):
+    edges = make_edges(("/a", "/h"), ("/b", "/h"), ("/c", "/h"), ("/a", "/x"))
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(path):
+        calls.add(1)
+        return path
+
+    sizes = edges.groupBy("to_path").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.withColumn("seen", F.udf(counted, "string")("to_path"))
+    joined = skew.join_sized(edges.select("from_path", "to_path"), sizes, "to_path", "n", F.col("from_path"), hot_rows=2)
+    got = sorted((r.from_path, r.to_path, r.n, r.seen) for r in joined.collect())
+    assert got == [("/a", "/h", 3, "/h"), ("/a", "/x", 1, "/x"), ("/b", "/h", 3, "/h"), ("/c", "/h", 3, "/h")]
+    assert calls.value == 2
+
+
+def test_stored_references_are_not_shuffled_to_a_few_wanted_paths(spark, given):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(3 * spark.sparkContext.defaultParallelism))
+    try:
+        cat = Catalogue.derive(spark, given)
+        wanted = cat.assets.select(F.col("asset_path").alias("from_path")).distinct().hint("merge")
+        found = cat.deps.join(wanted, "from_path", "left_semi")
+        assert plan(found).split("Initial Plan")[0].count("Exchange") == 1
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
