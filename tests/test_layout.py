@@ -141,3 +141,31 @@ def test_stored_references_are_not_shuffled_to_a_few_wanted_paths(spark, given):
         assert plan(found).split("Initial Plan")[0].count("Exchange") == 1
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.mark.parametrize("name", ["cycle_key", "check_results", "check_violations"])
+def test_cycles_and_checks_store_no_references(spark, given, name):
+    rows = lambda df: sorted(map(repr, df.collect()))
+    cat = Catalogue.derive(spark, given)
+    found = rows(QUERIES[name](cat))
+    assert found and not {"deps", "nodes"} & set(os.listdir(cat._store.removeprefix("file:")))
+    stored = Catalogue.derive(spark, given)
+    assert stored.nodes.count() and stored.edges.count()
+    assert rows(QUERIES[name](stored)) == found
+
+
+def test_vertices_that_nothing_points_at(make_assets, make_edges):
+    assets = make_assets(("/a", "T", 3), ("/a", None, 4), ("/b", "T", 5), ("/c", "T", 6))
+    edges = make_edges(("/a", "/b"), ("/a", "/b"), ("/u", "/b"), ("/b", "/w"), ("/c", "/c"), (None, "/b"))
+    rows = lambda df: sorted(map(repr, df.collect()))
+    got = graph.unreferenced(graph.starts(assets, edges, graph.pointed_at(edges)), edges)
+    assert rows(got) == rows(graph.unreferenced(graph.vertices(assets, edges), edges)) and got.count() == 2
+
+
+def test_a_screen_keeps_every_key_and_little_else(spark):
+    rows = spark.range(20_000).selectExpr("concat('/p', id) AS path", "id")
+    keys = rows.where("id % 100 = 7").selectExpr("path AS key")
+    kept = {r.id for r in skew.screened(rows, "path", keys, "key", 200).collect()}
+    assert kept >= {i for i in range(20_000) if i % 100 == 7} and len(kept) < 2_000
+    none = keys.limit(0)
+    assert skew.screened(rows, "path", none, "key", 0).count() == 0
