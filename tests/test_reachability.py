@@ -87,3 +87,53 @@ def test_chains_between_pairs_and_sets(spark, case):
     )
     got = {(r.source, r.target): r.chain for r in sets.collect()}
     assert got == {(s, g): smallest(s, g) for s in ("/v1", "/h4") for g in below(back, s)}
+
+
+def hashed(edges, nodes):
+    vertices, members = graph.analysed(nodes.withColumn("asset_type", nodes.asset_path), edges.distinct()), graph.strong_components(edges)
+    assert reachability.tells_apart(vertices) and not reachability.tells_apart(vertices.union(vertices.where("asset_path = '/h1'")))
+    edges = edges.distinct()
+    ids = reachability.hashed_ids(vertices, members, edges)
+    return reachability.hashed(ids, reachability.hashed_arcs(edges, members), edges)
+
+
+@pytest.mark.parametrize("layout", [{}, {"broadcast_rows": -1, "hot_rows": 3}])
+def test_hashed_vertices_match_plain_walks(spark, monkeypatch, case, layout):
+    pairs, names, edges, nodes, _ = case
+    if layout:
+        monkeypatch.setattr(skew.bounded, "__defaults__", (-1,))
+    odd = spark.createDataFrame([(None, "/h1", False), (None, "/v1", True), ("/h2", "/h2", False)], edges.schema)
+    index = hashed(edges.unionByName(odd), nodes)
+    roots = spark.createDataFrame([(n,) for n in [*names, "/nowhere", names[0]]], "asset_path string")
+    got = {r.asset_path: tuple(r)[1:] for r in graph.closure_stats(edges, nodes, roots, index, **layout).collect()}
+    back = [(b, a) for a, b in pairs]
+    above = {r.asset_path: tuple(r)[1:] for r in graph.impact_counts(edges, roots, index, **layout).collect()}
+    want, want_above = {}, {}
+    for name in names:
+        found, referrers = below(pairs, name), below(back, name).values()
+        sizes = len(name) * 10 + sum(len(v) * 10 for v in found)
+        want[name] = (sum(d == 1 for d in found.values()), sum(d > 1 for d in found.values()), sizes)
+        want_above[name] = (sum(d == 1 for d in referrers), sum(d > 1 for d in referrers))
+    assert got == want | {"/nowhere": (0, 0, 0)} and above == want_above | {"/nowhere": (0, 0)}
+    hit = {}
+    for r in graph.impact(edges, roots, index, **layout).collect():
+        hit.setdefault(r.target, {})[r.asset_path] = r.depth
+    assert hit == {name: found for name in names if (found := below(back, name))}
+
+
+def test_a_round_shuffles_what_it_steps_to_and_not_what_is_known(spark, monkeypatch):
+    rows = [(f"/a{i}", f"/a{i + 1}", False) for i in range(4)]
+    index = reachability.build(spark.createDataFrame(rows, "from_path string, to_path string, is_soft boolean"))
+    shuffles, settled = [], reachability.settle_laid_out
+
+    def watched(df, *keys):
+        shuffles.append(df._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression"))
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        shuffles[-1] = max(shuffles[-1], plan.count("hashpartitioning(vertex") - plan.count("__part"))
+        return settled(df, *keys)
+
+    monkeypatch.setattr(reachability, "settle_laid_out", watched)
+    roots = spark.createDataFrame([("/a4",)], "asset_path string")
+    found = reachability.levels(index, roots, reverse=True, broadcast_rows=-1).collect()
+    assert sorted(r.depth for r in found) == [1, 2, 3, 4]
+    assert len(shuffles) == 6 and set(shuffles) == {1}
