@@ -97,7 +97,8 @@ def postings(nodes: DataFrame, choose: int, of: int) -> DataFrame:
 def meetings(posts: DataFrame) -> DataFrame:
     """(a, b, at) for every list in which a pair a < b meets."""
     left = posts.select("at", "kept", F.col("fp").alias("a"))
-    right = posts.select("at", "kept", F.col("fp").alias("b"))
+    # Spark sizes postings like the nodes they were made of, 35 times too low: never to be broadcast.
+    right = posts.select("at", "kept", F.col("fp").alias("b")).hint("merge")
     return left.join(right, ["at", "kept"]).where("a < b").select("a", "b", "at")
 
 
@@ -118,7 +119,7 @@ def _links_apart(posts: DataFrame) -> DataFrame:
     """Verified pairs (a, b) of two components. Lists are of MIN_SHARED positions here, so meeting in one
     reaches the number; a pair that meets in several counts in the first only."""
     left = posts.select("at", "upto", "kept", F.col("fp").alias("a"), F.col("root").alias("root_a"))
-    right = posts.select("at", "kept", F.col("fp").alias("b"), F.col("root").alias("root_b"))
+    right = posts.select("at", "kept", F.col("fp").alias("b"), F.col("root").alias("root_b")).hint("merge")
     x = F.col("a").bitwiseXOR(F.col("b"))
     equal = sum((_same(x, p) * F.lit(1 << p) for p in range(BYTES)), F.lit(0))
     first = equal.bitwiseAND(F.col("upto")) == F.col("at")

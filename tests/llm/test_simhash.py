@@ -1,12 +1,15 @@
+import itertools
 import random
 import re
 
 import pytest
 import xxhash
 
+import corpus_pipeline
 from stowage.llm import simhash
 from stowage.llm.components import components
 from stowage.llm.queries import near_copies
+from stowage.session import settle
 
 
 def plain_fingerprint(text):
@@ -100,6 +103,34 @@ def test_no_link_is_lost_in_crowded_lists(spark, dense):
     assert [got[i] for i in range(len(signed))] == want
 
 
+@pytest.mark.parametrize("stage", [simhash.near_duplicates], ids=["op4"])
+def test_postings_are_never_broadcast(spark, monkeypatch, stage):
+    plans = []
+
+    def recorded(frame):
+        plans.append(frame._jdf.queryExecution().executedPlan().toString().split("\n"))
+        return settle(frame)
+
+    monkeypatch.setattr(simhash, "settle", recorded)
+    monkeypatch.setattr(simhash.near_pairs, "__defaults__", (5,))
+    monkeypatch.setattr(simhash.near_duplicates, "__defaults__", (5,))
+    if stage is simhash.near_duplicates:
+        codes = ball(random.Random(6), 77, range(64), 100)
+        stage(spark.createDataFrame([(i, c - 2**64 if c >> 63 else c) for i, c in enumerate(codes)], "doc_id bigint, fp bigint"))
+    else:
+        docs = spark.createDataFrame([(i, f"{'same words ' * 9}{i}", "", "", 0) for i in range(60)], "doc_id int, text string, lang string, source string, n_chars int")
+        stage(spark, docs, "").collect()
+    depth = lambda line: re.search("[A-Z]", line).start()
+    assert sum("Generate" in line for own in plans for line in own) >= 3
+    for own in plans:
+        for at, line in enumerate(own):
+            if "BroadcastExchange" in line:
+                # What is sent to all tasks is no explode's rows: those that a shuffle has counted are sized right.
+                below = itertools.takewhile(lambda x: x.strip() and depth(x) > depth(line), own[at + 1 :])
+                counted = itertools.takewhile(lambda x: " Exchange " not in f" {x.strip()}", below)
+                assert not any("Generate" in x for x in counted), "\n".join(own)
+
+
 @pytest.mark.parametrize("few", [0, 100_000])
 def test_components_of_long_paths_and_hubs(spark, monkeypatch, few):
     monkeypatch.setattr("stowage.llm.components.TASK_LINKS", few)
