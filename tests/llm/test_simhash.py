@@ -103,7 +103,7 @@ def test_no_link_is_lost_in_crowded_lists(spark, dense):
     assert [got[i] for i in range(len(signed))] == want
 
 
-@pytest.mark.parametrize("stage", [simhash.near_duplicates], ids=["op4"])
+@pytest.mark.parametrize("stage", [simhash.near_duplicates, corpus_pipeline.drop_near_copies], ids=["op4", "pipeline"])
 def test_postings_are_never_broadcast(spark, monkeypatch, stage):
     plans = []
 
