@@ -94,6 +94,23 @@ def test_one_vector_of_a_third_of_the_rows(spark):
     assert [i for _, i, _ in got[0]] == [i for _, i in want[0, next(v for i, v in usable(rows) if i == 0)]]
 
 
+@pytest.mark.parametrize("pivots, ranked", [(256, 128), (100, 100), (13, 13), (1, 1), (256, 3)])
+def test_footrules_place_by_place(pivots, ranked):
+    rng = np.random.default_rng(pivots)
+    orders = np.argsort(rng.random((2500, pivots)), axis=1)[:, :ranked].astype("i4")
+    query = np.argsort(rng.random(pivots))[:ranked].astype("i4")
+    places = lambda order: [order.tolist().index(p) if p in order else ranked for p in range(pivots)]
+    for file in (-1, int(query[0])):
+        cell = permutation_index.Cell(file, orders, pivots)
+        mine, footrules = cell.footrules(query)
+        assert footrules.dtype == np.int32 and (len(mine) == 2500 if file < 0 else len(mine) > 0)
+        # What a cell holds of an entry: a byte per pivot and its files, no number per place.
+        assert sum(x.nbytes for x in vars(cell).values() if isinstance(x, np.ndarray) and x.base is None) <= 2500 * (pivots + 8 + 4 * permutation_index.POSTED)
+        for at in range(0, len(mine), 97):
+            pair = zip(places(orders[mine[at]]), places(query))
+            assert footrules[at] == sum(abs(x - y) for x, y in pair)
+
+
 def test_few_pivots_leave_queries_short_and_all_entries_are_compared_then(spark, monkeypatch):
     monkeypatch.setattr(permutation_index, "POSTED", 1)
     monkeypatch.setattr(permutation_index, "READ", 1)
